@@ -19,6 +19,8 @@ from kvlens.llm.common import Scratch, keep_ids
 
 #: Records that share one copy of a payload in a join; larger groups of copies are split over shards.
 ROWS_PER_SHARD = 128
+#: Most digests (64 bytes each) that are broadcast after their count has been checked.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -75,9 +77,12 @@ def write_archive(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", u
     if len(parts) > 1:
         rest = parts[1] if len(parts) == 2 else parts[1].unionByName(parts[2], allowMissingColumns=True)
         single = single.unionByName(rest.groupBy("digest").agg(F.first("payload").alias("payload")))
-    payloads = scratch.save(single, "payloads")
+    # Only payloads with many copies have shards, at most one in ROWS_PER_SHARD records.
+    hot = scratch.save(groups.where("shards > 1").select("digest", "shards"), "hot")
+    sharded = single.join(F.broadcast(hot) if hot.count() <= BROADCAST_DIGESTS else hot, "digest", "left")
+    payloads = scratch.save(sharded.select("digest", "payload", F.coalesce("shards", F.lit(1)).alias("shards")), "payloads")
     scratch.drop(index, copies, repeated)
-    return Archive(headers, payloads.join(groups.select("digest", "shards"), "digest"))
+    return Archive(headers, payloads)
 
 
 def read_archive(archive: Archive) -> DataFrame:
