@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kvlens.llm import media, mixing, pieces, tokens, warc
+from kvlens.llm import media, mixing, pieces, secrets, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op7_token_counts": tokens.op7_token_counts,
     "op6_media": media.op6_media,
     "op10_mixing": mixing.op10_mixing,
+    "op8_secrets": secrets.op8_secrets,
     "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
