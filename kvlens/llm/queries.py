@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kvlens.llm import media, mixing, pieces, secrets, tokens, warc
+from kvlens.llm import media, mixing, pieces, secrets, tokens, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op7_token_counts": tokens.op7_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_media": media.op6_media,
     "op10_mixing": mixing.op10_mixing,
     "op8_secrets": secrets.op8_secrets,
