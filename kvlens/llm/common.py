@@ -64,6 +64,19 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """The id, or for rows without one a large number from the text's hash (equal texts, equal numbers)."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(1 << 61)))
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow over slices of at most ``rows`` rows; ``fn`` gets one list per column and returns columns."""
     from pyspark.sql.types import _parse_datatype_string

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import Scratch, documents, keep_ids, map_rows, text_or_empty
+from kvlens.llm.common import Scratch, documents, fresh, keep_ids, map_rows, row_key, text_or_empty
 from kvlens.llm.components import components
 
 U = np.uint64
@@ -362,5 +362,24 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(rows: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``rows``, with all columns, whose document has the smallest id of its component.
+
+    Of rows that share an id the least (by all columns in order) stays; rows without id are named by their text.
+    """
+    key = fresh(rows, "key")
+    keyed = rows.withColumn(key, row_key(id_col, text_col))
+    found = join_documents(keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), scratch, rule)
+    found = scratch.save(found.select("doc_id", "component_id"), "found")
+    extra = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "extra")
+    repeated = scratch.save(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated")
+    kept, n_repeated = keep_ids(keyed, extra, key, "left_anti"), repeated.count()
+    if n_repeated:
+        several = keep_ids(kept, repeated, key, "left_semi", n_repeated)
+        least = several.groupBy(key).agg(F.min(F.struct(*rows.columns)).alias("row")).select(key, "row.*")
+        kept = keep_ids(kept, repeated, key, "left_anti", n_repeated).unionByName(least)
+    return kept.select(*rows.columns)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(documents(spark, sf_dir), Scratch(spark, "jaccard"), Rule(4, 85, 100))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import WORD, Scratch, documents, text_or_empty
+from kvlens.llm.common import BROADCAST_IDS, WORD, Scratch, documents, fresh, row_key, text_or_empty
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -111,5 +111,23 @@ def mix(docs: DataFrame, scratch: Scratch, share: float = 1.5, most: float = 2.0
     return parts.groupBy(*keys).agg(taken.cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def resample(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, **options) -> DataFrame:
+    """The rows of ``docs`` in the mix, with all columns, each as often as its taken words make whole texts.
+
+    A part of a text counts as a whole or as none by a hash of the id, in proportion, so that sources still
+    come near their targets.  Rows that share an id are repeated alike; those without id are named by their text.
+    """
+    key, copies = fresh(docs, "key"), fresh(docs, "copies")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    sizes = keyed.select(F.col(key).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"))
+    taken = mix(sizes, scratch, seed=seed, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + part)).otherwise(F.lit(0)).cast("int")
+    changed = scratch.save(taken.select(F.col("doc_id").alias(key), times.alias(copies)).where(F.col(copies) != 1), "copies")
+    joined = keyed.join(F.broadcast(changed) if changed.count() <= BROADCAST_IDS else changed, key, "left")
+    repeated = joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.coalesce(F.col(copies), F.lit(1)))))
+    return repeated.select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized(documents(spark, sf_dir)), Scratch(spark, "mixing"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,11 +146,8 @@ def scan(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
 
 def redact(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", mark: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with every span replaced; rows without one stay as they are (null texts too)."""
-    from pyspark.sql.functions import pandas_udf
 
-    import pandas as pd
-
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         def one(text):
             if text is None:

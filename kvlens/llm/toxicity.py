@@ -20,6 +20,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from kvlens.llm.common import Scratch, documents, map_rows, text_or_empty
 
 MAX_TRAIN = 8000
 BIAS = -4.0
+#: Scores from here on count as toxic.
+THRESHOLD = 0.3
 #: A word or beginning is evidence if it was in this share of the toxic training texts, and this much likelier there.
 MIN_SHARE, MIN_TOXIC, MIN_LOG_ODDS = 0.012, 4, 5.3
 CACHE = 400_000
@@ -204,12 +207,12 @@ class WordWeights(dict):
         return w
 
 
-def score_texts(docs: DataFrame, model: dict[str, float], lm: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score of every whole text."""
+def scorer(model: dict[str, float], lm: np.ndarray):
+    """A function from texts to scores; each worker keeps the words it has met."""
     table = lm.tolist()
     caches: list[WordWeights] = []
 
-    def run(ids: list, texts: list) -> dict:
+    def score(texts: list[str]) -> list[float]:
         if not caches:
             caches.append(WordWeights(model, table))
         own, scores = caches[0], []
@@ -219,7 +222,28 @@ def score_texts(docs: DataFrame, model: dict[str, float], lm: np.ndarray, id_col
             if model and SPACED.search(low):
                 total += sum(map(own.of_word, set(spaced_words(low, table))))
             scores.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, BIAS + total)))))
-        return {id_col: ids, "score": scores}
+        return scores
+
+    return score
+
+
+def reject(docs: DataFrame, model: dict[str, float], lm: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    score = scorer(model, lm)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([x < threshold for x in score(texts.tolist())], dtype=bool)
+
+    return docs.where(clean(text_or_empty(text_col)))
+
+
+def score_texts(docs: DataFrame, model: dict[str, float], lm: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score of every whole text."""
+    score = scorer(model, lm)
+
+    def run(ids: list, texts: list) -> dict:
+        return {id_col: ids, "score": score(texts)}
 
     return map_rows(docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("text")), run, f"{id_col} long, score double")
 
@@ -233,4 +257,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, lm = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "toxicity"))
     scored = score_texts(docs, model, lm)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
