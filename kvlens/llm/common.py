@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most 64-bit ids (16 MB) that are broadcast after their count has been checked.
 BROADCAST_IDS = 2_000_000
+#: Most rows and bytes of an Arrow batch, so that a task holds little of its partition at once, whatever its texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text_or_empty(text_col)), F.lit(1 << 61)))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches kept small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 512) -> DataFrame:
     """mapInArrow over slices of at most ``rows`` rows; ``fn`` gets one list per column and returns columns."""
     from pyspark.sql.types import _parse_datatype_string
@@ -91,7 +100,7 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], schema: str, rows: int = 51
                 made = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip((made[f.name] for f in out), out, strict=True)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 WORD = r"[^\x20\x09-\x0D]+"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import Scratch, documents, fresh, keep_ids, map_rows, row_key, text_or_empty
+from kvlens.llm.common import Scratch, bounded, documents, fresh, keep_ids, map_rows, row_key, text_or_empty
 from kvlens.llm.components import components
 
 U = np.uint64
@@ -154,7 +154,7 @@ def signatures(hashes: np.ndarray, rule: Rule, lows: list[int]) -> np.ndarray:
             every = np.zeros(blocks, U)
             every[block] = value
             block, value = np.arange(blocks), every
-        out.append(mix(value + mix(block.astype(U) * _STEP + U(band) * _PLACE[0])))
+        out.append(mix(value + mix(block.astype(U) * _STEP + U(band * int(_PLACE[0]) & (1 << 64) - 1))))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -184,7 +184,7 @@ def signature_table(docs: DataFrame, rule: Rule) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["key", "id"])
 
-    return docs.mapInArrow(run, "key long, id long")
+    return bounded(docs).mapInArrow(run, "key long, id long")
 
 
 def pass_sketch(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
@@ -296,7 +296,7 @@ def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, best: bool
         a, b = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(list(map(int, a)), pa.int64()), pa.array(list(map(int, b)), pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return bounded(dealt).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:

@@ -27,7 +27,7 @@ from kvlens.llm.tokens import vocabulary
 
 SPACE = "▁"
 #: Words whose ids a worker remembers, a stream.
-CACHE = 250_000
+CACHE = 100_000
 MASK = (1 << 64) - 1
 
 

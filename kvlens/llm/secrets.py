@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import documents, map_rows, text_or_empty
+from kvlens.llm.common import bounded, documents, map_rows, text_or_empty
 
 #: The patterns, each with the fewest characters of its checked group.
 KINDS = ("assign", "access", "hex")
@@ -82,7 +82,7 @@ def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
         label, pair = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(pair, pa.int32()), pa.array(sums[label, pair], pa.int64())], names=["label", "pair", "n"])
 
-    parts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "label int, pair int, n long")
+    parts = bounded(docs).select(text_or_empty(text_col).alias("text")).mapInArrow(count, "label int, pair int, n long")
     return parts.groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
@@ -162,7 +162,7 @@ def redact(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", mark: st
 
         return texts.map(one)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return bounded(docs).withColumn(text_col, clean(F.col(text_col)))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

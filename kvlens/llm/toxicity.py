@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import Scratch, documents, map_rows, text_or_empty
+from kvlens.llm.common import Scratch, bounded, documents, map_rows, text_or_empty
 
 MAX_TRAIN = 8000
 BIAS = -4.0
@@ -32,7 +32,7 @@ BIAS = -4.0
 THRESHOLD = 0.3
 #: A word or beginning is evidence if it was in this share of the toxic training texts, and this much likelier there.
 MIN_SHARE, MIN_TOXIC, MIN_LOG_ODDS = 0.012, 4, 5.3
-CACHE = 400_000
+CACHE = 200_000
 
 #: Letters that other characters stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "¢": "c"}
@@ -69,7 +69,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         grams = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int32()), pa.array(sums[grams], pa.int64())], names=["gram", "n"])
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return bounded(docs).select(text_or_empty(text_col).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
@@ -235,7 +235,7 @@ def reject(docs: DataFrame, model: dict[str, float], lm: np.ndarray, text_col: s
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([x < threshold for x in score(texts.tolist())], dtype=bool)
 
-    return docs.where(clean(text_or_empty(text_col)))
+    return bounded(docs).where(clean(text_or_empty(text_col)))
 
 
 def score_texts(docs: DataFrame, model: dict[str, float], lm: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
