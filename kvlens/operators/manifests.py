@@ -32,8 +32,8 @@ def completeness(manifests: DataFrame, missing: DataFrame) -> DataFrame:
 
 def uncovered(manifests: DataFrame, members: DataFrame, layers: int, first_block: int, last_block: int) -> DataFrame:
     """Cells of the expected grid (every layer and block) that no member fills.  The grid is exploded in place."""
-    grid = manifests.select("manifest_id", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).cast("long").alias("layer_id"))
-    grid = grid.withColumn("kv_block_id", F.explode(F.sequence(F.lit(first_block), F.lit(last_block))).cast("long"))
+    grid = manifests.select("manifest_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(layers - 1).cast("long"))).alias("layer_id"))
+    grid = grid.withColumn("kv_block_id", F.explode(F.sequence(F.lit(first_block).cast("long"), F.lit(last_block).cast("long"))))
     return grid.join(members.select("manifest_id", "layer_id", "kv_block_id"), ["manifest_id", "layer_id", "kv_block_id"], "left_anti")
 
 

@@ -99,6 +99,8 @@ def with_views(sql: str) -> str:
     """A DuckDB statement over the views that it names."""
     used = [f"{name} AS ({text.format(**{t: t for t in TABLES})})" for name, text in VIEWS.items() if name in sql]
     body = sql.strip()
+    if not used:
+        return body
     if body.upper().startswith("WITH RECURSIVE"):
         return "WITH RECURSIVE " + ",\n".join(used) + ",\n" + body[14:].lstrip()
     return "WITH " + ",\n".join(used) + (",\n" + body[4:].lstrip() if body.upper().startswith("WITH") else "\n" + body)
