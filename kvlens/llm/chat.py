@@ -47,13 +47,13 @@ def turn_table(conversations: DataFrame, conv_col: str = "conv_id", turn_col: st
 
 
 def dealt(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """``turns`` with part: 0, or a hash's share where very many rows have one turn number."""
+    """``turns``; where very many rows have one turn number, with part: a hash's share of those rows, else 0."""
     most = 1 << BLOCK_BITS
     counts = turns.groupBy("key", F.coalesce("turn", F.lit(LAST_BLOCK)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     hot = scratch.save(counts.where(F.col("n") > most).select("key", "t", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot-turns")
     n_hot = hot.count()
     if not n_hot:
-        return turns.withColumn("part", F.lit(0))
+        return turns
     joined = turns.withColumn("t", F.coalesce("turn", F.lit(LAST_BLOCK))).join(F.broadcast(hot) if n_hot <= BROADCAST_TURNS else hot, ["key", "t"], "left")
     # A hot turn number is a block of its own kind: its parts follow each other inside the block of its turns.
     return joined.withColumn("part", F.coalesce(F.pmod(F.xxhash64("speaker", "text"), F.col("parts")).cast("int"), F.lit(0))).drop("t", "parts")
@@ -82,7 +82,8 @@ def spans_of(turns: Column, perspective: Column, context: tuple[str, ...]) -> Co
 def rotate(conversations: DataFrame, scratch: Scratch, context: tuple[str, ...] = CONTEXT, **columns: str) -> DataFrame:
     """conv_id, block, part, perspective, n_turns, rendered, mask (spans to learn) for every participant and block."""
     turns = dealt(turn_table(conversations, **columns), scratch)
-    place = ["key", "block", "part"]
+    # A constant part would be folded out of the grouping, and blocks would be shuffled again for the join.
+    place = [c for c in ("key", "block", "part") if c in turns.columns]
     turn = F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "text")
     # Equal rows are one turn: a set, made in the map tasks, keeps a row that is repeated very often small.
     blocks = turns.groupBy(*place).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_set(turn)).alias("turns"))
@@ -92,7 +93,7 @@ def rotate(conversations: DataFrame, scratch: Scratch, context: tuple[str, ...]
     perspective = F.col("perspective")
     segment = lambda t: F.concat(head_of(t["speaker"], perspective, context), t["text"], F.lit(CLOSE + "\n"))
     return both.select(
-        "conv_id", "block", "part", "perspective",
+        "conv_id", "block", F.col("part") if "part" in place else F.lit(0).alias("part"), "perspective",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", segment), "").alias("rendered"),
         spans_of(F.col("turns"), perspective, context).alias("mask"),
