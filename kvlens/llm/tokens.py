@@ -153,8 +153,10 @@ class PrefixCounter:
         counts, done, start, run, run_done = [0], 0, 0, 0, 0
         for piece, special in self.pieces(text):
             for i in range(1, len(piece)):
-                tail = text[run : start + i] if piece[:i].isspace() else piece[:i]
-                counts.append((run_done if piece[:i].isspace() else done) + sum(self.prefixes(p.encode("utf-8", "surrogatepass"))[-1] for p in self.split(tail)))
+                # A special token's beginning is plain text, which takes the space before it.
+                again = special or piece[:i].isspace()
+                tail = text[run : start + i] if again else piece[:i]
+                counts.append((run_done if again else done) + sum(self.prefixes(p.encode("utf-8", "surrogatepass"))[-1] for p in self.split(tail)))
             whole = 1 if special else self.prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
             if not special and piece.isspace():
                 counts.append(run_done + sum(self.prefixes(p.encode())[-1] for p in self.split(text[run : start + len(piece)])))
