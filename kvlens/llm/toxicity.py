@@ -31,7 +31,7 @@ BIAS = -4.0
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
 #: A word or beginning is evidence if it was in this share of the toxic training texts, and this much likelier there.
-MIN_SHARE, MIN_TOXIC, MIN_LOG_ODDS = 0.012, 4, 5.3
+MIN_SHARE, MIN_TOXIC, MIN_LOG_ODDS = 0.012, 4, 4.5
 CACHE = 200_000
 
 #: Letters that other characters stand for.
