@@ -147,12 +147,17 @@ def store(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, Data
 
 
 def read_media(media: DataFrame, pool: DataFrame) -> DataFrame:
-    """media_id, stored: the bytes put together again in order and checked."""
-    refs = media.where(F.exists("recipe", lambda r: r["digest"].isNotNull())).select("media_id", F.explode(F.array_distinct(F.filter(F.transform("recipe", lambda r: r["digest"]), lambda d: d.isNotNull()))).alias("digest"))
+    """media_id, stored: the bytes put together again in order and checked.
+
+    Media that hold all their chunks are read where they lie; only those that refer to shared chunks are shuffled.
+    """
+    refers = F.exists("recipe", lambda r: r["digest"].isNotNull())
+    referring = media.where(refers)
+    refs = referring.select("media_id", F.explode(F.array_distinct(F.filter(F.transform("recipe", lambda r: r["digest"]), lambda d: d.isNotNull()))).alias("digest"))
     # Which medium needs a chunk is joined to the chunk; a chunk that very many media share is split by AQE.
-    fetched = refs.distinct().join(pool, "digest").groupBy("media_id").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
-    joined = media.join(fetched, "media_id", "left")
-    return _assembled(joined)
+    fetched = refs.join(pool, "digest").groupBy("media_id").agg(F.collect_list(F.struct("digest", "data")).alias("fetched"))
+    whole = media.where(~refers).withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))
+    return _assembled(whole.unionByName(referring.join(fetched, "media_id", "left")))
 
 
 def _assembled(joined: DataFrame) -> DataFrame:
