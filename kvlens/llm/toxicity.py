@@ -5,7 +5,8 @@ symbols and spacing make a lattice of every suspicious string; Viterbi search re
 A log-odds model of restored words and their beginnings, fitted on labelled texts, scores it.
 
 Learning uses at most MAX_TRAIN labelled texts (a hash of the id picks them); near copies among them count
-once, so a copied text doesn't make its ordinary words look toxic.  Labels enter nowhere else.
+once, so a copied text doesn't make its ordinary words look toxic.  How strong evidence must be is chosen by
+cross-validation among these texts.  Labels enter nowhere else.
 
 Defined cases: null and empty texts get the score of a text without evidence; a document without label is
 scored alike; without any toxic label all scores are the bias; repeated rows get equal scores; repeated
@@ -30,8 +31,10 @@ MAX_TRAIN = 8000
 BIAS = -4.0
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
-#: A word or beginning is evidence if it was in this share of the toxic training texts, and this much likelier there.
-MIN_SHARE, MIN_TOXIC, MIN_LOG_ODDS = 0.012, 4, 4.5
+#: A word or beginning is evidence if it was in this share of the toxic training texts, and in this many.
+MIN_SHARE, MIN_TOXIC = 0.012, 4
+#: How much likelier it must be there (log odds): that of CUTS which does best on folds of the training texts.
+FOLDS, CUTS = 4, (3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
 CACHE = 200_000
 
 #: Letters that other characters stand for.
@@ -174,7 +177,37 @@ def training_sample(docs: DataFrame, labels: DataFrame, lm: np.ndarray, scratch:
         return {"doc_id": ids, "toxic": toxic, "family": families, "evidence": found}
 
     rows = scratch.save(map_rows(texts, run, "doc_id long, toxic int, family long, evidence array<string>", rows=128), "evidence")
-    return rows.dropDuplicates(["family"])
+    return scratch.save(rows.dropDuplicates(["family"]), "sample")
+
+
+def log_odds(n_toxic: Column, n: Column) -> Column:
+    """Of the columns p (toxic texts with the evidence) and n (texts with it)."""
+    return F.log((F.col("p") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / (n - n_toxic + 1.0))
+
+
+def least_log_odds(sample: DataFrame) -> float:
+    """The cut with the best F measure when each fold of families is judged by the evidence of the others.
+
+    Any cut's evidence brings a score past THRESHOLD by itself, so a text's strongest evidence decides.  Of
+    equal cuts the highest is taken, which leaves more texts alone.
+    """
+    folded = sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(11), "family"), F.lit(FOLDS)).cast("int"))
+    sizes = {r["fold"]: (r["p"], r["n"]) for r in folded.groupBy("fold").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n = (sum(x) for x in zip(*sizes.values(), strict=True))
+    seen = folded.select("family", "fold", "toxic", F.explode("evidence").alias("e"))
+    inside = [F.struct(F.sum(F.when(F.col("fold") == k, F.col("toxic")).otherwise(0)).alias("p"), F.count(F.when(F.col("fold") == k, 1)).alias("n")) for k in range(FOLDS)]
+    counts = seen.groupBy("e").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"), *(c.alias(f"in{k}") for k, c in enumerate(inside))).where(F.col("p") >= MIN_TOXIC)
+    others = []
+    for k in range(FOLDS):
+        toxic_out, n_out = n_toxic - sizes.get(k, (0, 0))[0], n - sizes.get(k, (0, 0))[1]
+        least = max(MIN_TOXIC, math.ceil(MIN_SHARE * toxic_out))
+        others.append(F.struct(F.lit(k).alias("fold"), (F.col("p") - F.col(f"in{k}.p")).alias("p"), (F.col("n") - F.col(f"in{k}.n")).alias("n"), F.lit(toxic_out).alias("t"), F.lit(n_out).alias("all"), F.lit(least).alias("least")))
+    out = counts.select("e", F.explode(F.array(*others)).alias("o")).select("e", "o.*").where("p >= least").withColumn("w", log_odds(F.col("t"), F.col("all"))).where(F.col("w") >= CUTS[0])
+    # As few entries as the weights have, times the folds: the sample is bounded.
+    best = seen.join(F.broadcast(out.select("e", "fold", "w")), ["e", "fold"]).groupBy("family").agg(F.max("w").alias("w"))
+    hits = sample.select("family", "toxic").join(best, "family").agg(*(F.count(F.when(F.col("w") >= c, 1)).alias(f"all{i}") for i, c in enumerate(CUTS)), *(F.sum(F.when(F.col("w") >= c, F.col("toxic"))).alias(f"toxic{i}") for i, c in enumerate(CUTS))).first()
+    f_measure = {c: 2 * (hits[f"toxic{i}"] or 0) / (hits[f"all{i}"] + n_toxic) for i, c in enumerate(CUTS)}
+    return max(CUTS, key=lambda c: (f_measure[c], c))
 
 
 def weights(sample: DataFrame) -> dict[str, float]:
@@ -184,8 +217,7 @@ def weights(sample: DataFrame) -> dict[str, float]:
     if not n_toxic:
         return {}
     seen = sample.select("toxic", F.explode("evidence").alias("e")).groupBy("e").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n"))
-    odds = F.log((F.col("p") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / (n - n_toxic + 1.0))
-    kept = seen.where(F.col("p") >= max(MIN_TOXIC, math.ceil(MIN_SHARE * n_toxic))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
+    kept = seen.where(F.col("p") >= max(MIN_TOXIC, math.ceil(MIN_SHARE * n_toxic))).withColumn("w", log_odds(F.lit(n_toxic), F.lit(n))).where(F.col("w") >= least_log_odds(sample))
     return {r["e"]: r["w"] for r in kept.select("e", "w").collect()}
 
 
