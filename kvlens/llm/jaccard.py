@@ -311,7 +311,7 @@ def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
 
 
 def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (verified links that were needed) of each row."""
+    """doc_id, n_shingles, component_id of each row."""
     docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = classes(docs, rule, scratch)
     known = base.where("n > 0 AND doc_id IS NOT NULL")
