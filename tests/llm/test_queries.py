@@ -144,6 +144,17 @@ def test_op5_held_out(spark):
     assert hits >= 0.8 * sum(t for _, t in test) and hits >= 0.9 * sum(p for p, _ in test)
 
 
+def test_op5_cut_is_chosen_on_folds(spark):
+    evil = [(i, 1, ["=evil"]) for i in range(40)]
+    rare = [(100 + i, int(i < 6), ["=rare"]) for i in range(12)]  # as often in clean texts: no evidence
+    clean = [(1000 + i, 0, ["=calm"]) for i in range(400)]
+    sample = spark.createDataFrame(evil + rare + clean, "family long, toxic int, evidence array<string>")
+    assert toxicity.least_log_odds(sample) == max(toxicity.CUTS)
+    assert set(toxicity.weights(sample)) == {"=evil"}
+    assert toxicity.weights(sample.where("toxic = 0")) == {} == toxicity.weights(sample.limit(0))
+    assert toxicity.weights(sample.where("family = 1")) == {}
+
+
 def test_op5_restores():
     import numpy as np
 
