@@ -10,6 +10,13 @@ from kvlens.llm.common import Scratch
 ROUNDS = 40
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each upper end (u) has one edge and is no lower end (v): then v is its component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("upper")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("upper")))
+    odd = ends.groupBy("id").agg(F.sum("upper").alias("n"), F.min("upper").alias("lower")).where("n > 1 OR (n = 1 AND lower = 0)")
+    return not odd.limit(1).count()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (its smallest id) of every id in ``links`` (a, b).
 
@@ -17,8 +24,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Minima are summed in the map tasks and joined back to written edges, so a hub's edges are split by AQE.
     """
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
     for _ in range(ROUNDS):
+        if are_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
@@ -27,10 +35,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(small_least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
         edges = scratch.save(small.distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
