@@ -162,29 +162,25 @@ def signatures(hashes: np.ndarray, rule: Rule, lows: list[int]) -> np.ndarray:
 
 
 def base_table(docs: DataFrame, rule: Rule, salt: int) -> DataFrame:
-    """doc_id, n, class and check (digests of the set), sketch."""
+    """doc_id, n, class and check (digests of the set), sketch, keys (of its buckets): the texts are hashed here, once."""
+    lows = rule.bands()
 
     def run(ids: list, texts: list) -> dict:
         sets = [shingle_hashes(t, rule.words) for t in texts]
+        keys = [signatures(s, rule, lows) if len(s) else np.empty(0, np.int64) for s in sets]
+        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         digest = lambda s, k: int(mix(s + U(k)).sum(dtype=U).view(np.int64)) if len(s) else 0
-        return {"doc_id": ids, "n": [len(s) for s in sets], "class": [digest(s, 2 * salt) for s in sets], "check": [digest(s, 2 * salt + 1) for s in sets], "sketch": [sketch(s) for s in sets]}
+        return {
+            "doc_id": ids, "n": [len(s) for s in sets], "class": [digest(s, 2 * salt) for s in sets], "check": [digest(s, 2 * salt + 1) for s in sets],
+            "sketch": [sketch(s) for s in sets], "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
+        }
 
-    return map_rows(docs, run, "doc_id long, n long, class long, check long, sketch binary", rows=256)
+    return map_rows(docs, run, "doc_id long, n long, class long, check long, sketch binary, keys array<long>", rows=256)
 
 
-def signature_table(docs: DataFrame, rule: Rule) -> DataFrame:
+def signature_table(base: DataFrame) -> DataFrame:
     """key, id: one row for each block of each document."""
-    lows = rule.bands()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys = [signatures(shingle_hashes(t, rule.words), rule, lows) for t in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["key", "id"])
-
-    return bounded(docs).mapInArrow(run, "key long, id long")
+    return base.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
 
 
 def pass_sketch(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
@@ -320,11 +316,11 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
     repeated = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     copies = scratch.save(headed.where("doc_id <> head").select("doc_id").distinct().join(repeated, "doc_id", "left_anti"), "copies")
     n_copies = copies.count()
-    head_docs = keep_ids(docs.where("doc_id IS NOT NULL"), copies, "doc_id", "left_anti", n_copies)
+    head_keys = keep_ids(known.select("doc_id", "keys"), copies, "doc_id", "left_anti", n_copies)
     head_base = keep_ids(known.select("doc_id", "n", "sketch"), copies, "doc_id", "left_anti", n_copies)
 
     # One pair of each bucket: sums in the map tasks make any bucket one row a task.
-    buckets = signature_table(head_docs, rule).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
+    buckets = signature_table(head_keys).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
     buckets = scratch.save(buckets, "buckets")
     links = linked(scratch.save(buckets.select("a", "b").distinct(), "first-pairs"), docs, head_base, rule, scratch)
     labels = components(links, scratch)
@@ -334,13 +330,15 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
     n_wide = wide.count()
     tested = buckets.select("a", "b").distinct()
     if n_wide:
-        members = scratch.save(keep_ids(signature_table(head_docs, rule), wide.select("key"), "key", "left_semi", n_wide).distinct(), "members")
+        members = scratch.save(keep_ids(signature_table(head_keys), wide.select("key"), "key", "left_semi", n_wide).distinct(), "members")
         open_members = unresolved(members, labels, scratch)
 
         def further(pairs: DataFrame) -> bool:
             """Check pairs not yet checked; whether any was linked."""
             nonlocal links, labels, tested, open_members
             pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not pairs.limit(1).count():
+                return False
             tested = tested.unionByName(pairs)
             more = linked(pairs, docs, head_base, rule, scratch)
             if not more.limit(1).count():
