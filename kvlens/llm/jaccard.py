@@ -350,8 +350,9 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
             return True
 
         further(open_members.join(wide, "key").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct())
-        while open_members.limit(1).count() and further(large_pairs(open_members, head_base, rule, best=True)):
-            pass
+        if open_members.limit(1).count():
+            # Once: the nearest row of joined components is one of the nearest rows tested already.
+            further(large_pairs(open_members, head_base, rule, best=True))
         if open_members.limit(1).count():
             further(small_pairs(open_members).unionByName(large_pairs(open_members, head_base, rule, best=False)).distinct())
 
