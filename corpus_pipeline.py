@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece_ids, n_pieces, lossless of every document in the mix."""
-    return pieces.encode(docs)
+    """doc_id, piece_ids, n_pieces, lossless of every document in the mix; each copy is segmented anew."""
+    return pieces.encode(docs, copies=True)
 
 
 STAGES = [

@@ -1,34 +1,38 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda by score.  A keyed hash of the seed, the stream and the place of a
-candidate decides whether it is skipped, so a seed gives the same segmentation again, other seeds and
-streams give others, and every segmentation is made of the model's own merges.  A text uses ``streams``
-streams in turn, from word to word, beginning at one drawn from its id; a word's segmentation in a stream
-is computed once a worker and kept in a bounded cache.
+Merges are taken from an agenda by score.  Each candidate that comes up is skipped by a draw of its own: a hash
+of the seed, the document, the copy and the word's place gives the gaps between skipped candidates, as many
+candidates long as independent draws would make them.  So each occurrence of a word is drawn anew, a seed gives
+the same segmentations again, and every segmentation is made of the model's own merges.  Only what doesn't
+depend on a draw is cached: the ids that a word has when the candidates at given turns are skipped.
 
 Defined cases: a null or empty text has no pieces; U+2581 in a text comes back as a space, as in the model's
-own decoder (``lossless`` is false there); all other texts come back whole; repeated rows give equal rows.
+own decoder (``lossless`` is false there); all other texts come back whole; a row without id is named by its
+text; repeated rows give equal rows, unless ``copies`` numbers them.
 """
 
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, cycle
-from operator import getitem
+from itertools import chain
+from math import log, log1p
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import documents, map_rows, text_or_empty
+from kvlens.llm.common import documents, map_rows, row_key, text_or_empty
 from kvlens.llm.tokens import vocabulary
 
 SPACE = "▁"
-#: Words whose ids a worker remembers, a stream.
-CACHE = 100_000
+#: Words whose ids without skips a worker remembers, and as many segmentations with skips.
+CACHE = 200_000
 MASK = (1 << 64) - 1
+#: A gap that no word reaches.
+NEVER = 1 << 62
 
 
 def mixed(x: int) -> int:
@@ -37,19 +41,31 @@ def mixed(x: int) -> int:
     return x ^ (x >> 32)
 
 
-class Stream(dict):
-    """Ids of the words met so far under one key."""
+def place_hashes(key: int, n: int) -> np.ndarray:
+    """Hashes of the places 0 to n - 1 under one key."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __init__(self, encoder: DropoutEncoder, key: bytes, dropout: float):
-        self.encoder, self.key, self.dropout = encoder, key, dropout
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > CACHE:
-            self.clear()
-        ids = self.encoder.word_ids(word, self.key, self.dropout)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+def first_gaps(hashes: np.ndarray, dropout: float) -> np.ndarray:
+    """Candidates taken before the first that is skipped."""
+    if dropout <= 0:
+        return np.full(len(hashes), NEVER)
+    if dropout >= 1:
+        return np.zeros(len(hashes), np.int64)
+    unit = ((hashes >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+    return np.minimum(np.log(unit) / log1p(-dropout), 1e18).astype(np.int64)
+
+
+def skipped_turns(first: int, h: int, dropout: float) -> Iterator[int]:
+    """The turns that are skipped, ascending, without end."""
+    turn = first
+    while True:
+        yield turn
+        h = mixed(h + 0x9E3779B97F4A7C15 & MASK)
+        turn += 1 if dropout >= 1 else 1 + int(log(((h >> 11) + 1) * 2.0**-53) / log1p(-dropout))
 
 
 class DropoutEncoder:
@@ -68,16 +84,18 @@ class DropoutEncoder:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
             raise ValueError("a piece crosses a word's start; words can't be encoded apart")
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.streams: dict[tuple, list[Stream]] = {}
+        self.plain: dict[str, tuple[int, list[int]]] = {}  # word -> turns, ids
+        self.varied: dict[tuple, tuple[int, list[int]]] = {}  # word, skipped turns -> turns, ids
+
+    def segment(self, word: str, skips: Iterator[int]) -> tuple[list[str], int, tuple[int, ...]]:
+        """Pieces, the number of turns and those skipped.
 
-    def segment(self, word: str, key: bytes, dropout: float) -> list[str]:
-        """Agenda: best score first, then leftmost; a candidate that the keyed hash skips is never merged."""
+        Agenda: best score first, then leftmost; a turn is a candidate whose pieces both still stand, and one
+        that is skipped is never merged.
+        """
         n = len(word)
-        if n == 1:
-            return [word]
         score = self.score
-        limit = int(dropout * 65536)
-        drawn = blake2b(word.encode("utf-8", "surrogatepass"), key=key).digest()  # 64 bytes to draw from
+        turn, skip, skipped = 0, next(skips), []
         end = list(range(1, n + 1))  # of the piece that begins here; 0 when none does
         before = list(range(-1, n - 1))
         agenda = [(-s, i, i + 1, i + 2) for i in range(n - 1) if (s := score.get(word[i : i + 2])) is not None]
@@ -86,10 +104,11 @@ class DropoutEncoder:
             _, a, b, e = heappop(agenda)
             if end[a] != b or end[b] != e:
                 continue
-            if limit:
-                i = (a * 5 + b * 11 + e * 23) % 63
-                if (drawn[i] << 8 | drawn[i + 1]) < limit:
-                    continue
+            turn += 1
+            if turn > skip:
+                skipped.append(skip)
+                skip = next(skips)
+                continue
             end[a], end[b] = e, 0
             if e < n:
                 before[e] = a
@@ -105,11 +124,11 @@ class DropoutEncoder:
         while i < n:
             out.append(word[i : end[i]])
             i = end[i]
-        return out
+        return out, turn, tuple(skipped)
 
-    def word_ids(self, word: str, key: bytes, dropout: float) -> list[int]:
+    def piece_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
-        for piece in self.segment(word, key, dropout):
+        for piece in pieces:
             i = self.own.get(piece)
             if i is None:
                 out.extend([self.byte_id[b] for b in piece.encode("utf-8")])
@@ -117,14 +136,48 @@ class DropoutEncoder:
                 out.append(i)
         return out
 
-    def encode(self, text: str, seed: int, stream: int, streams: int, dropout: float) -> list[int]:
+    def unskipped(self, word: str) -> tuple[int, list[int]]:
+        """Turns and ids of a word of which nothing is skipped; each turn then makes two pieces one."""
+        ids = self.model.encode(word[1:].replace(SPACE, " "))
+        if "".join([self.pieces[i] for i in ids]) == word:
+            found = len(word) - len(ids), ids
+        else:  # bytes, or a character that the library takes otherwise
+            pieces, turns, _ = self.segment(word, iter((NEVER,)))
+            found = turns, self.piece_ids(pieces)
+        if len(word) < 64:
+            if len(self.plain) > CACHE:
+                self.plain.clear()
+            self.plain[word] = found
+        return found
+
+    def skipping(self, word: str, first: int, h: int, dropout: float) -> list[int]:
+        """Ids of a word whose turn ``first`` is skipped, and maybe later ones."""
+        turns = skipped_turns(first, h, dropout)
+        if len(word) >= 64:
+            return self.piece_ids(self.segment(word, turns)[0])
+        met = (next(turns),)
+        while (known := self.varied.get((word, met))) is not None:
+            turn = next(turns)
+            if turn >= known[0]:
+                return known[1]
+            met += (turn,)
+        pieces, n, skipped = self.segment(word, chain(met, turns))
+        ids = self.piece_ids(pieces)
+        if len(self.varied) > CACHE:
+            self.varied.clear()
+        self.varied[word, skipped] = n, ids
+        return ids
+
+    def encode(self, text: str, seed: int, doc: int, copy: int, dropout: float) -> list[int]:
         if not text:
             return []
-        if (seed, streams, dropout) not in self.streams:
-            self.streams[seed, streams, dropout] = [Stream(self, b"%d/%d" % (seed, s), dropout) for s in range(streams)]
-        turns = self.streams[seed, streams, dropout]
         words = self.words(SPACE + text.replace(" ", SPACE))
-        return list(chain.from_iterable(map(getitem, cycle(turns[stream:] + turns[:stream]), words)))
+        hashes = place_hashes(mixed(mixed(mixed(seed & MASK) ^ doc & MASK) + copy & MASK), len(words))
+        plain, out = self.plain, []
+        for place, (word, first) in enumerate(zip(words, first_gaps(hashes, dropout).tolist(), strict=True)):
+            turns, ids = plain.get(word) or self.unskipped(word)
+            out.extend(ids if first >= turns else self.skipping(word, first, int(hashes[place]), dropout))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         of_byte, pieces = self.of_byte, self.pieces
@@ -145,14 +198,17 @@ def encoder(path: str) -> DropoutEncoder:
     return _encoders[path]
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", seed: int = 1, dropout: float = 0.1, streams: int = 2) -> DataFrame:
-    """id, piece_ids, n_pieces, lossless (whether decoding the ids gives the text again)."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", seed: int = 1, dropout: float = 0.1, copies: bool = False) -> DataFrame:
+    """id, piece_ids, n_pieces, lossless (whether decoding the ids gives the text again).
+
+    With ``copies`` the rows of one id and text are numbered (they are shuffled for this) and drawn apart.
+    """
 
-    def run(ids: list, texts: list) -> dict:
+    def run(ids: list, keys: list, numbers: list, texts: list) -> dict:
         own = encoder(vocabulary(model))
         made, offsets, flat, same = [], [0], [], []
-        for i, text in zip(ids, texts, strict=True):
-            got = own.encode(text, seed, mixed(seed ^ (i or 0) & MASK) % streams, streams, dropout)
+        for key, number, text in zip(keys, numbers, texts, strict=True):
+            got = own.encode(text, seed, key, number, dropout)
             flat.extend(got)
             offsets.append(len(flat))
             made.append(len(got))
@@ -160,7 +216,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
         return {id_col: ids, "piece_ids": arrays, "n_pieces": made, "lossless": same}
 
-    return map_rows(df.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("text")), run, f"{id_col} long, piece_ids array<int>, n_pieces long, lossless boolean", rows=256)
+    alike = Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
+    numbered = keyed.withColumn("number", (F.row_number().over(alike) - 1) if copies else F.lit(0))
+    return map_rows(numbered.select("id", "key", "number", "text"), run, f"{id_col} long, piece_ids array<int>, n_pieces long, lossless boolean", rows=256)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids", model: str = "piece_bpe_32k.model") -> DataFrame:

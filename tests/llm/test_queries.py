@@ -230,6 +230,37 @@ def test_op9(spark, docs):
     assert any(one[d].piece_ids != two[d].piece_ids for d in docs)
 
 
+def test_op9_draws_each_occurrence(spark):
+    text = " ".join(["international"] * 400)
+    own = pieces.encoder(tokens.vocabulary("piece_bpe_32k.model"))
+    starts = [own.encode(text, 1, doc, 0, 0.1) for doc in (1, 2)]
+    assert starts[0] != starts[1] and starts[0] == own.encode(text, 1, 1, 0, 0.1)
+    found, word = defaultdict(int), []
+    for i in starts[0]:
+        if own.pieces[i].startswith("▁") and word:
+            found["|".join(word)] += 1
+            word = []
+        word.append(own.pieces[i])
+    assert len(found) > 4
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    assert len({tuple(r.piece_ids) for r in pieces.encode(df, copies=True).collect()}) == 4
+    assert len({tuple(r.piece_ids) for r in pieces.encode(df).collect()}) == 3
+
+
+def test_op9_draws_are_independent():
+    """Cached segmentations are those of one run with a draw a candidate, and skips come as often as asked."""
+    own = pieces.encoder(tokens.vocabulary("piece_bpe_32k.model"))
+    text, dropout, seed = "▁internationalisation", 0.1, 1
+    turns, n_skipped = 0, 0
+    for doc in range(4000):
+        h = int(pieces.place_hashes(pieces.mixed(pieces.mixed(pieces.mixed(seed) ^ doc)), 1)[0])
+        first = int(pieces.first_gaps(pieces.np.array([h], pieces.np.uint64), dropout)[0])
+        made, n, skipped = own.segment(text, pieces.skipped_turns(first, h, dropout))
+        assert own.encode(text[1:], seed, doc, 0, dropout) == own.piece_ids(made) and "".join(made) == text
+        turns, n_skipped = turns + n, n_skipped + len(skipped)
+    assert abs(n_skipped / turns - dropout) < 0.01
+
+
 def test_op10(spark):
     got = mixing.op10_mixing(spark, LARGER).collect()
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
