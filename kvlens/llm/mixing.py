@@ -3,6 +3,9 @@
 The points frac(s * golden ratio) of the slots s = 0, 1, ... fall into the cumulative target shares of the
 sources; a source's slots are ranked and take its blocks in turn.  Blocks are equal numbers of words of the
 source's documents in shuffled order, so a long document spans several blocks and a block several documents.
+A block has the same words whatever the input's size, and the slots grow with the input.  The few slots by
+which a source misses its target after the schedule are added or taken away, so that a source comes within a
+block of it, however small its share.
 
 Everything is DataFrame operations.  Sums over a source's documents are made in hash buckets first, so a
 source with a third of all rows is spread over many tasks.
@@ -21,10 +24,9 @@ from kvlens.llm.common import BROADCAST_IDS, WORD, Scratch, documents, fresh, ro
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
-#: Slots of a schedule: enough that a source's share is met to about a millionth, however large the input.
-SLOTS = 1 << 18
-MIN_BLOCK = 32
-#: Intervals of [0, 1) by which points find their source.
+#: Words of a block.
+BLOCK = 32
+#: Intervals of [0, 1) by which points find their source, at least.
 CELLS = 4096
 
 
@@ -57,23 +59,32 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return filled.withColumn("target", F.least(F.col("limit"), rest * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def schedule(sources: DataFrame, block: int, slots: int, most: float = 2.0) -> DataFrame:
-    """source_id, slot, rank, block_id.  ``sources``: source_id, source_size, target."""
+def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
+    """source_id, slot, rank, block_id.  ``sources``: source_id, source_size, target.
+
+    Slots from ``slots`` on are those added to sources that the points gave too few.
+    """
+    cells = max(CELLS, 4 * sources.count())
     blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    share = F.sum("target").over(Window.orderBy("source_id")) / F.sum("target").over(Window.partitionBy())
-    ends = sources.where("target > 0").withColumns({"blocks": blocks, "up_to": share, "wide": F.col("target") / F.sum("target").over(Window.partitionBy())}).withColumn("from", F.col("up_to") - F.col("wide"))
-    cells = ends.withColumn("cell", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("from") * CELLS - 1)).cast("int"), F.least(F.lit(CELLS), F.floor(F.col("up_to") * CELLS + 1)).cast("int"))))
-    points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    # Where rounding leaves a gap between two sources, the first that ends after the point has it.
-    hit = points.join(cells, "cell").where("point < up_to + 1e-12").groupBy("slot").agg(F.min(F.struct("up_to", "source_id", "blocks", "source_size")).alias("s")).select("slot", "s.source_id", "s.blocks", "s.source_size")
+    wanted = sources.where("target > 0").withColumn("blocks", blocks).withColumn("quota", F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long"))
+    in_order = Window.orderBy("source_id")
+    up_to = F.sum("target").over(in_order) / F.sum("target").over(Window.partitionBy())
+    # An end is the next source's start, so that each point has one source.
+    ends = wanted.withColumn("up_to", up_to).withColumn("from", F.lag("up_to", 1, 0.0).over(in_order)).withColumn("up_to", F.when(F.lead("source_id").over(in_order).isNull(), 2.0).otherwise(F.col("up_to")))
+    first, last = F.greatest(F.lit(0), F.floor(F.col("from") * cells) - 1), F.least(F.lit(cells), F.floor(F.col("up_to") * cells) + 1)
+    split = ends.withColumn("cell", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN) % 1.0).alias("point")).withColumn("cell", F.floor(F.col("point") * cells).cast("int"))
+    hit = points.join(split, "cell").where("point >= `from` AND point < up_to").select("slot", "source_id", "blocks", "quota")
     # Ranks in two steps: within a run of slots, then the run's place among the source's runs.
-    run = F.shiftright("slot", 12)
+    run = F.shiftright("slot", max(12, slots.bit_length() // 2))
     runs = hit.groupBy("source_id", run.alias("run")).agg(F.count(F.lit(1)).alias("n"))
     offset = runs.withColumn("offset", F.sum("n").over(Window.partitionBy("source_id").orderBy("run")) - F.col("n"))
     ranked = hit.withColumn("run", run).withColumn("in_run", F.row_number().over(Window.partitionBy("source_id", "run").orderBy("slot")) - 1)
     rank = (F.col("offset") + F.col("in_run")).alias("rank")
-    placed = ranked.join(offset.select("source_id", "run", "offset"), ["source_id", "run"]).select("source_id", "slot", rank, "blocks")
-    return placed.where(F.col("rank") < F.col("blocks") * int(most)).withColumn("block_id", F.col("rank") % F.col("blocks"))
+    placed = ranked.join(offset.select("source_id", "run", "offset"), ["source_id", "run"]).select("source_id", "slot", rank, "blocks", "quota").where("rank < quota").drop("quota")
+    met = wanted.join(runs.groupBy("source_id").agg(F.sum("n").alias("met")), "source_id", "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    missed = met.where("met < quota").withColumn("rank", F.explode(F.sequence(F.col("met"), F.col("quota") - 1))).select("source_id", (F.lit(slots) + F.col("rank") - F.col("met")).alias("slot"), "rank", "blocks")
+    return placed.unionByName(missed).withColumn("block_id", F.col("rank") % F.col("blocks"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -90,9 +101,8 @@ def mix(docs: DataFrame, scratch: Scratch, share: float = 1.5, most: float = 2.0
     bucket = F.pmod(F.col("order"), F.lit(buckets)).cast("int")
     sums = scratch.save(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")), "bucket-sums")
     sources = scratch.save(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, most, weights).withColumn("source_id", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "targets")
-    block = max(MIN_BLOCK, -(-int(total * share) // SLOTS))
-    slots = int(total * share) // block
-    plan = scratch.save(schedule(sources, block, slots, most), "schedule")
+    block = BLOCK
+    plan = scratch.save(schedule(sources, block, int(total * share) // block), "schedule")
 
     # A document's place in its source: the buckets before its own, then the documents before it in the bucket.
     keyed = sums.join(F.broadcast(sources) if sources.count() < 100_000 else sources, sums["source"].eqNullSafe(sources["source"])).select("source_id", "bucket", sums["source"].alias("source"), "n", "source_size", "target")

@@ -289,6 +289,22 @@ def test_op10(spark):
         assert abs(target[s] - want[s]) < 1e-3 and abs(taken[s] - want[s]) <= 0.05 * want[s] + 100
 
 
+def test_op10_small_sources_in_a_large_corpus(spark):
+    """Sources of one or two blocks come to their targets whatever the total, and the large ones still do."""
+    small = {"s1": 300, "s2": 40, "s3": 20, "s4": 33, "s5": 2000}
+    large = spark.range(2500).select((F.col("id") + 100).alias("doc_id"), F.when(F.col("id") % 4 == 0, "l1").otherwise("l0").alias("source"), F.lit(20_000).cast("long").alias("size"))
+    parts = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(small.items())], "doc_id long, source string, size long")
+    mixed = mixing.mix(large.unionByName(parts), Scratch(spark, "t")).collect()
+    taken, target, names = defaultdict(int), {}, {i: s for i, s in enumerate(small)}
+    for r in mixed:
+        s = names.get(r.doc_id) or ("l1" if (r.doc_id - 100) % 4 == 0 else "l0")
+        taken[s] += r.taken
+        target[s] = r.target
+    for s, n in small.items():
+        assert (target[s], taken[s]) == (2 * n, 2 * n)
+    assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK for s in ("l0", "l1"))
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline
 
