@@ -1,12 +1,12 @@
-"""Secret scans: fixed patterns plus character Markov models of random strings and of ordinary words.
+"""Secret scans: fixed patterns plus character Markov models of random strings and of ordinary identifiers.
 
 Two first-order models are trained from labelled samples counted over all documents: values that the fixed
-patterns find are samples of secrets, words of letters are samples of ordinary text.  A token that is long
+patterns find are samples of secrets, all other words and identifiers are samples of ordinary text; a short labelled
+list says how ordinary identifiers join letters, digits and separators.  A token that is long
 and mixed enough is a secret too when its log-likelihood ratio per character passes a threshold.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; fixed spans always
-stay and a model's span that touches one is left out; a corpus without secrets trains the secret model on its
-smoothing alone (a flat distribution); repeated rows give equal rows.
+stay and a model's span that touches one is left out; a corpus without secrets leaves the secret model flat; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-WORDS = re.compile(r"[A-Za-z]{4,}")
+ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 #: Character classes of the models: the 64 of base 64, then "_-=", then any other and the word's edge.
@@ -35,7 +35,18 @@ CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SIDE = len(ALPHABET) + 1
 THRESHOLD = 0.7
-SMOOTHING = 20.0
+#: Shares of a row that are counted, ordinary and secret, at most: the rest is the model's prior, whatever the
+#: corpus's size.  A row of fewer than about FEW counts leans on its prior more.
+COUNTED = (0.9, 0.5)
+FEW = 50.0
+#: Ordinary identifiers, for the steps between lower case, upper case, digits and separators.
+LABELLED = """release-notes-2024-03-15 articles/2021/05/how-to-cook-rice chapter_12_section_34 2023-11-30 2024/01/02
+report_2020_final_v2 IMG_20190412_1530 src/main/java/App getUserName parseHttpResponse MAX_RETRY_COUNT user-agent
+utf-8 iso-8859-1 version-1-2-3 file_name_01 page-2 section3 h264 mp4 x86_64 sha256 base64 python3 2021-Q4 covid-19
+lib/python3/site-packages images/2018/07/summer-holiday-12 docs/guide/chapter-3 build_1024 test_case_15 --help --- ====
+readme-first New-York README Makefile JavaScript StringBuilder isEmpty toString ISO9001 COM1 A4 B2B 10-12 555-1234
+img_0042 thumbnail-640x480 1920x1080 node_modules content/uploads/2016/09/photo-3 part-00001 log_2022_08_31 and/or
+"""
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,13 +67,20 @@ def pair_counts(strings: list[str]) -> np.ndarray:
     return np.bincount(codes[:-1] * SIDE + codes[1:], minlength=SIDE * SIDE) if len(codes) > 1 else np.zeros(SIDE * SIDE, np.int64)
 
 
+def outside(text: str, base: list[tuple[int, int, int]]) -> str:
+    """The text with its fixed spans blank."""
+    for start, _, end in base:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return text
+
+
 def samples(text: str) -> tuple[list[str], list[str]]:
-    """Labelled strings of one text: secrets, ordinary words."""
-    secrets = []
-    for start, kind, end in base_spans(text):
+    """Labelled strings of one text: secrets, ordinary words and identifiers."""
+    secrets, base = [], base_spans(text)
+    for start, kind, end in base:
         value = text[start:end]
         secrets.append(ASSIGN.match(value).group(2) if kind == 0 else value)
-    return secrets, WORDS.findall(text)
+    return secrets, ORDINARY.findall(outside(text, base))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,14 +109,27 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     table = np.zeros((2, SIDE, SIDE))
     for row in counts.collect():
         table[row["label"], row["pair"] // SIDE, row["pair"] % SIDE] = row["n"]
-    # Each row is smoothed towards the frequencies of its own model and those towards a flat distribution.
-    flat = table.sum(1) + SMOOTHING
-    flat /= flat.sum(1, keepdims=True)
-    smooth = table + SMOOTHING * (0.9 * flat[:, None, :] + 0.1 / SIDE)
-    logs = np.log(smooth / smooth.sum(2, keepdims=True))
+    logs = []
+    for counts_of, counted, before in zip(table, COUNTED, (identifier_prior(table[0]), np.full((SIDE, SIDE), 1 / SIDE)), strict=True):
+        n = counts_of.sum(1, keepdims=True)
+        weight = counted * n / (n + FEW)
+        logs.append(np.log(weight * counts_of / np.maximum(n, 1) + (1 - weight) * before))
     return logs[1] - logs[0]
 
 
+def identifier_prior(counts: np.ndarray) -> np.ndarray:
+    """P(next | char) of ordinary identifiers: the next class as in LABELLED, then a character of that class as in the counts."""
+    kind = np.array([0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in ALPHABET] + [4])
+    member = (kind[:, None] == np.arange(5)).astype(float)
+    steps = member.T @ pair_counts(LABELLED.split()).reshape(SIDE, SIDE) @ member + 0.5
+    steps /= steps.sum(1, keepdims=True)
+    seen = counts.sum(0)
+    of_class = member @ (member.T @ seen)
+    weight = 0.8 * of_class / (of_class + FEW)
+    within = weight * seen / np.maximum(of_class, 1) + (1 - weight) / (member @ member.sum(0))
+    return steps[kind][:, kind] * within
+
+
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Tokens of 16 and more characters with letters and digits that look random and touch no fixed span."""
     out = []

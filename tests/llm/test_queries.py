@@ -212,6 +212,26 @@ def test_op8(spark, docs):
         assert set(written) <= set(got[d].spans.split(",")) | {""}
 
 
+def mean_ratio(ratios, token):
+    codes = secrets.CODE[[ord(c) for c in token]]
+    return ratios[codes[:-1], codes[1:]].mean()
+
+
+def test_op8_ordinary_identifiers_at_two_sizes(spark):
+    ordinary = "report_2019_quarter_3 summer-sale-2022-07-01 photos/2015/11/wedding-party-88 invoice_2023_00457 backup-20231104-final products/category-17/item-2041 news/2020/06/local-weather-week-23 max_open_connections getDefaultLocaleName"
+    for root in (LARGER, LARGEST):
+        ratios = secrets.log_ratios(secrets.train(spark.read.parquet(f"{root}/documents.parquet")))
+        assert all(mean_ratio(ratios, t) < secrets.THRESHOLD for t in ordinary.split())
+        assert mean_ratio(ratios, "aZ81kQ0pXw7Lr2Vt") > 2 * secrets.THRESHOLD
+
+
+def test_op8_smoothing_is_free_of_scale(spark):
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    counts = secrets.train(df).cache()
+    one, many = (secrets.log_ratios(counts.withColumn("n", F.col("n") * k)) for k in (1, 1000))
+    assert abs(mean_ratio(one, "summer-sale-2022-07-01") - mean_ratio(many, "summer-sale-2022-07-01")) < 0.3
+
+
 def test_op9(spark, docs):
     import sentencepiece
 
