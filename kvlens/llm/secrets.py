@@ -2,8 +2,8 @@
 
 Two first-order models are trained from labelled samples counted over all documents: values that the fixed
 patterns find are samples of secrets, all other words and identifiers are samples of ordinary text; a short labelled
-list says how ordinary identifiers join letters, digits and separators.  A token that is long
-and mixed enough is a secret too when its log-likelihood ratio per character passes a threshold.
+list says how ordinary identifiers join letters, digits and separators.  A token of 8 and more characters,
+whatever they are, is a secret too when its log-likelihood ratio passes two thresholds, per character and in all.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; fixed spans always
 stay and a model's span that touches one is left out; a corpus without secrets leaves the secret model flat; repeated rows give equal rows.
@@ -25,7 +25,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
@@ -34,7 +34,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SIDE = len(ALPHABET) + 1
+#: Least log-likelihood ratio, per character and of a whole token (short tokens need a higher one per character).
 THRESHOLD = 0.7
+TOTAL = 8.0
 #: Shares of a row that are counted, ordinary and secret, at most: the rest is the model's prior, whatever the
 #: corpus's size.  A row of fewer than about FEW counts leans on its prior more.
 COUNTED = (0.9, 0.5)
@@ -131,19 +133,16 @@ def identifier_prior(counts: np.ndarray) -> np.ndarray:
 
 
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Tokens of 16 and more characters with letters and digits that look random and touch no fixed span."""
-    out = []
-    for m in TOKEN.finditer(text):
-        token = m.group()
-        digits = sum(map(str.isdigit, token))
-        if digits < 2 or len(token) - digits < 4:
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        codes = CODE[np.frombuffer(token.encode(), np.uint8)]
-        if ratios[codes[:-1], codes[1:]].mean() >= threshold:
-            out.append((m.start(), m.end()))
-    return out
+    """Tokens of 8 and more characters that look random and touch no fixed span."""
+    found = [m.span() for m in TOKEN.finditer(text)]
+    if not found:
+        return []
+    codes = CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]  # one byte a code point
+    sums = np.concatenate([[0.0], np.cumsum(ratios[codes[:-1], codes[1:]])])
+    start, end = np.array(found).T
+    total = sums[end - 1] - sums[start]
+    random = (total >= TOTAL) & (total >= threshold * (end - start - 1))
+    return [(s, e) for s, e in zip(start[random].tolist(), end[random].tolist(), strict=True) if not any(a < e and s < b for a, _, b in taken)]
 
 
 def all_spans(text: str, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple[list, list]:

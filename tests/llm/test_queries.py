@@ -232,6 +232,32 @@ def test_op8_smoothing_is_free_of_scale(spark):
     assert abs(mean_ratio(one, "summer-sale-2022-07-01") - mean_ratio(many, "summer-sale-2022-07-01")) < 0.3
 
 
+def test_op8_random_spans(spark):
+    """Planted tokens of few digits and of letters only are found, ordinary text isn't, against a brute-force sum."""
+    import random
+    import string
+
+    r = random.Random(3)
+    df = spark.read.parquet(f"{LARGER}/documents.parquet")
+    ratios = secrets.log_ratios(secrets.train(df))
+    texts = [t for t in ((t.text or "")[:300] for t in df.select("text").limit(400).collect()) if not secrets.base_spans(t)][:200]
+    for alphabet, n, least in ((string.ascii_letters + string.digits, 16, 0.97), (string.ascii_letters + "7", 20, 0.97), (string.ascii_letters, 16, 0.97), (string.ascii_letters, 12, 0.9), (string.ascii_letters + string.digits, 8, 0.85)):
+        planted = ["".join(r.choices(alphabet, k=n)) for _ in range(200)]
+        hits = 0
+        for text, token in zip(texts, planted, strict=True):
+            whole = f"😀 {text} {token} ordinary words"
+            want = []
+            for m in re.finditer("[A-Za-z0-9+/_=-]+", whole):
+                k = m.group()
+                total = sum(ratios[secrets.CODE[ord(a)], secrets.CODE[ord(b)]] for a, b in zip(k, k[1:]))
+                if len(k) >= 8 and total >= 8 and total >= 0.7 * (len(k) - 1):
+                    want.append(m.span())
+            got = secrets.model_spans(whole, ratios, secrets.base_spans(whole))
+            assert got == want and {whole[s:e] for s, e in got} <= {token}
+            hits += len(got)
+        assert hits >= least * 200
+
+
 def test_op9(spark, docs):
     import sentencepiece
 
