@@ -6,7 +6,7 @@ list says how ordinary identifiers join letters, digits and separators.  A token
 whatever they are, is a secret too when its log-likelihood ratio passes two thresholds, per character and in all.
 
 Defined cases: a null or empty text has no spans; spans are in code points, end exclusive; fixed spans always
-stay and a model's span that touches one is left out; a corpus without secrets leaves the secret model flat; repeated rows give equal rows.
+stay and a model's span is cut to what lies outside them; a corpus without secrets leaves the secret model flat; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def identifier_prior(counts: np.ndarray) -> np.ndarray:
 
 
 def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Tokens of 8 and more characters that look random and touch no fixed span."""
+    """Tokens of 8 and more characters that look random, cut to their parts outside the fixed spans."""
     found = [m.span() for m in TOKEN.finditer(text)]
     if not found:
         return []
@@ -142,7 +142,16 @@ def model_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]]
     start, end = np.array(found).T
     total = sums[end - 1] - sums[start]
     random = (total >= TOTAL) & (total >= threshold * (end - start - 1))
-    return [(s, e) for s, e in zip(start[random].tolist(), end[random].tolist(), strict=True) if not any(a < e and s < b for a, _, b in taken)]
+    out = []
+    for s, e in zip(start[random].tolist(), end[random].tolist(), strict=True):
+        for a, _, b in taken:
+            if a < e and s < b:
+                if s < a:
+                    out.append((s, a))
+                s = b
+        if s < e:
+            out.append((s, e))
+    return out
 
 
 def all_spans(text: str, ratios: np.ndarray, threshold: float = THRESHOLD) -> tuple[list, list]:

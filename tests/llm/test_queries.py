@@ -258,6 +258,19 @@ def test_op8_random_spans(spark):
         assert hits >= least * 200
 
 
+def test_op8_overlapping_spans_are_cut(spark):
+    ratios = secrets.log_ratios(secrets.train(spark.read.parquet(f"{LARGER}/documents.parquet")))
+    head, tail = "0123456789abcdef" * 2, "XqZ81kQ0pXw7Lr2VtR9m"
+    text = f"a key {tail[::-1]}-{head}-{tail} there"
+    base = secrets.base_spans(text)
+    at = text.index(head)
+    assert base == [(at, 2, at + 32)]
+    assert secrets.model_spans(text, ratios, base) == [(6, at), (at + 32, text.index(" there"))]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.text for r in secrets.redact(df, ratios).collect()] == ["a key [secret][secret][secret] there"]
+    assert [r.n_random for r in secrets.scan(df, ratios).collect()] == [2]
+
+
 def test_op9(spark, docs):
     import sentencepiece
 
