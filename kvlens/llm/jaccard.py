@@ -2,13 +2,17 @@
 
 Each document is its set of distinct word shingles, as 64-bit hashes.  Every hash flips one bit of a sketch,
 so the Hamming distance of two sketches is at most the symmetric difference of the sets.  For sets of a size
-band that difference has a limit D; with the hashes dealt to blocks, two linked sets must agree in one of any
-D + 1 blocks.  Blocks are compared by the XOR of their hashes in a Spark aggregation; pairs that meet are
-checked by size, by Hamming distance and last by the exact sets.
+band that difference has a limit D; with the hashes dealt to B > D blocks, two linked sets differ in at most D
+blocks.  A block is compared by the XOR of its hashes in a Spark aggregation, which also counts its bucket.
 
-Equal sets are one class, whose smallest document stands for it.  Components come first from one pair of
-each bucket, then from stars, and at last from every pair of a bucket that still has several components:
-large buckets are compared in blocks of rows inside tasks, which return only pairs that pass the sketch.
+Put a set's buckets in order, those of at most HOT rows first: two linked sets share one of their first D + 1.
+So a linked pair either meets in a small bucket, whose pairs are listed, or both sets have fewer than D + 1
+small buckets; only such sets (few but members of large groups of near copies) are looked for in the others.
+
+Equal sets are one class, whose smallest document stands for it.  Components come first from one pair of each
+bucket, then from the pairs of small buckets and from large buckets' smallest documents, and at last from the
+rows of a large bucket that are outside its largest component, compared with its other rows in blocks inside
+tasks.  Pairs that meet are checked by size, by Hamming distance and last by the exact sets.
 
 Defined cases: null, empty and blank texts have no shingles and no links; with fewer words than a shingle
 the whole sequence is the one shingle; rows of one repeated id are one document whose rows' links are
@@ -25,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.llm.common import Scratch, bounded, documents, fresh, keep_ids, map_rows, row_key, text_or_empty
+from kvlens.llm.common import BROADCAST_IDS, Scratch, bounded, documents, fresh, keep_ids, map_rows, row_key, text_or_empty
 from kvlens.llm.components import components
 
 U = np.uint64
-#: Rows of a bucket compared at once, and the size up to which a bucket's pairs are listed by a join.
-CHUNK, SMALL = 256, 8
-#: Size bands grow by this factor; blocks beyond the limit make up for those with under two set bits.
-BAND, SPARE = 2.0, 1.1
+#: Rows of a large bucket compared at once, and the size up to which a bucket's pairs are listed by a join.
+CHUNK, HOT = 1024, 8
+#: Size bands grow by this factor at least; blocks for each that must be looked at; the bits of a key that say its band.
+BAND, SPARE, BAND_BITS = 1.5, 1.25, 7
 
 
 @dataclass(frozen=True)
@@ -53,9 +57,9 @@ class Rule:
 
     def bands(self) -> list[int]:
         """Smallest size of each band."""
-        lows = [1]
+        lows, grow = [1], max(BAND, self.denominator / self.numerator)
         while lows[-1] < 1 << 40:
-            lows.append(max(lows[-1] + 1, int(lows[-1] * BAND)))
+            lows.append(max(lows[-1] + 1, int(lows[-1] * grow)))
         return lows
 
 
@@ -122,65 +126,60 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
-def signatures(hashes: np.ndarray, rule: Rule, lows: list[int]) -> np.ndarray:
-    """Bucket keys of a set: for each band its larger partner or itself may be in, blocks of the sketch.
+def signatures(hashes: np.ndarray, rule: Rule, lows: list[int]) -> tuple[np.ndarray, list[int]]:
+    """Bucket keys of a set, for its own band and, if a partner may lie there, the next; spare keys of even and odd bands.
 
-    Blocks with under two set bits say little and are passed over, as long as D + 1 others remain; an equal
-    block is passed over on both sides, so the guarantee stays.
+    Of a band's keys all but the spare ones must be looked at.  Blocks without a hash come last in any order,
+    so a set that has enough others leaves them out.
     """
-    n, out = len(hashes), []
+    n, out, spare = len(hashes), [], [0, 0]
     own = int(np.searchsorted(lows, n, "right")) - 1
     for band in (own, own + 1):
         low, high = lows[band], lows[band + 1] - 1
         largest = min(rule.partner(n), high)
         if largest < low:
             continue
-        limit = rule.apart(n + largest)
-        if not limit:
+        need = rule.apart(n + largest) + 1
+        if need == 1:
             continue  # only equal sets are linked
-        blocks = int(SPARE * (rule.apart(2 * high) + 1)) + 1
+        most = rule.apart(2 * high) + 1
+        blocks = max(int(SPARE * most) + 1, min(32, 8 * most))
         place = ((hashes >> U(20)) % U(blocks)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        place, sorted_hashes = place[order], hashes[order]
-        at = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        spread = mix(sorted_hashes + U(band + 1))
-        word = np.bitwise_xor.reduceat(U(1) << (spread & U(63)), at)
-        value = np.bitwise_xor.reduceat(spread, at)
-        block = place[at]
-        rich = np.flatnonzero(np.bitwise_count(word) > 1)
-        if len(rich) > limit:
-            block, value = block[rich[: limit + 1]], value[rich[: limit + 1]]
-        else:
-            every = np.zeros(blocks, U)
-            every[block] = value
-            block, value = np.arange(blocks), every
-        out.append(mix(value + mix(block.astype(U) * _STEP + U(band * int(_PLACE[0]) & (1 << 64) - 1))))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+        value = np.zeros(blocks, U)
+        np.bitwise_xor.at(value, place, mix(hashes + U(band + 1)))
+        block = np.unique(place)
+        if len(block) < need:
+            block = np.arange(blocks)
+        keys = mix(value[block] + mix(block.astype(U) * _STEP + U(band * int(_PLACE[0]) & (1 << 64) - 1)))
+        out.append(keys >> U(64 - 49) << U(BAND_BITS) | U(band))
+        spare[band & 1] = len(block) - need
+    return (np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)), spare
 
 
 # -- stages -------------------------------------------------------------------------------------------------
 
 
 def base_table(docs: DataFrame, rule: Rule, salt: int) -> DataFrame:
-    """doc_id, n, class and check (digests of the set), sketch, keys (of its buckets): the texts are hashed here, once."""
+    """doc_id, n, class and check (digests of the set), sketch, keys (of its buckets), spare (keys of even and odd bands)."""
     lows = rule.bands()
 
     def run(ids: list, texts: list) -> dict:
         sets = [shingle_hashes(t, rule.words) for t in texts]
-        keys = [signatures(s, rule, lows) if len(s) else np.empty(0, np.int64) for s in sets]
+        keys, spare = zip(*(signatures(s, rule, lows) for s in sets), strict=True)
         offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         digest = lambda s, k: int(mix(s + U(k)).sum(dtype=U).view(np.int64)) if len(s) else 0
         return {
             "doc_id": ids, "n": [len(s) for s in sets], "class": [digest(s, 2 * salt) for s in sets], "check": [digest(s, 2 * salt + 1) for s in sets],
-            "sketch": [sketch(s) for s in sets], "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))),
+            "sketch": [sketch(s) for s in sets], "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), "spare": list(spare),
         }
 
-    return map_rows(docs, run, "doc_id long, n long, class long, check long, sketch binary, keys array<long>", rows=256)
+    return map_rows(docs, run, "doc_id long, n long, class long, check long, sketch binary, keys array<long>, spare array<int>", rows=256)
 
 
-def signature_table(base: DataFrame) -> DataFrame:
-    """key, id: one row for each block of each document."""
-    return base.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+def signature_table(heads: DataFrame) -> DataFrame:
+    """key, id, spare: one row for each block of each document."""
+    rows = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "spare")
+    return rows.select("key", "id", F.element_at("spare", (F.col("key").bitwiseAND(1) + 1).cast("int")).alias("spare"))
 
 
 def pass_sketch(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
@@ -221,59 +220,72 @@ def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, rule: Rule, scrat
     return found
 
 
-def unresolved(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, id, component of the members of buckets that hold several components."""
-    marked = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+def still_open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets that hold several components, with their component.  ``members``: key, id and more."""
+    marked = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     marked = scratch.save(marked, "marked")
-    keys = scratch.save(marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size"), "open-keys")
-    return scratch.save(marked.join(keys, "key"), "open")
+    keys = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    return scratch.save(marked.join(keys, "key", "left_semi"), "open")
 
 
-def small_pairs(open_members: DataFrame) -> DataFrame:
-    """All pairs of different components in buckets of at most SMALL rows."""
-    few = open_members.where(F.col("size") <= SMALL)
+def small_pairs(few: DataFrame) -> DataFrame:
+    """All pairs of different components in buckets of at most HOT rows."""
     a = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     b = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    return a.join(b, "key").where("a < b AND ca <> cb").select("a", "b")
 
 
-def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    """Pairs of different components in larger buckets that pass the sketch.
+def exposed(members: DataFrame) -> DataFrame:
+    """Those rows of large buckets whose set has more keys of large buckets in a band than it has to spare."""
+    large = members.where(F.col("size") > HOT).withColumn("band", F.col("key").bitwiseAND((1 << BAND_BITS) - 1))
+    short = large.groupBy("id", "band").agg(F.count(F.lit(1)).alias("n"), F.min("spare").alias("spare")).where("n > spare").select("id", "band")
+    return large.join(short, ["id", "band"], "left_semi").drop("band")
 
-    A bucket's rows are dealt to chunks and every two chunks meet in one group, of 2 * CHUNK rows or so.
-    With ``best`` a row keeps only its nearest row of each other component.
-    """
-    many = open_members.where(F.col("size") > SMALL).join(base.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = many.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "n", "sketch")
 
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
+def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+    """a, b, more: pairs of different components in large buckets that pass the sketch.
+
+    Rows outside a bucket's largest component are compared with all others: both are dealt to chunks, and
+    every two chunks meet in one group.  With ``nearest`` a row keeps only its nearest row of each other
+    component in a group; ``more`` says that others passed.
+    """
+    sizes = open_members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("largest"))
+    whole = whole.select("key", "rows", F.col("largest.component").alias("main"), (F.col("rows") - F.col("largest.n")).alias("minor"))
+    many = open_members.select("key", "id", "component").join(whole, "key").join(base.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
+    dealt = many.withColumn("at", F.explode(F.concat(
+        F.when(F.col("component") != F.col("main"), F.transform(every("rows"), lambda j: F.struct(own("minor").alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array()),
+        F.transform(every("minor"), lambda i: F.struct(i.alias("i"), own("rows").alias("j"), F.lit(False).alias("asks"))),
+    )))
+    dealt = dealt.select("key", "at.i", "at.j", "at.asks", "id", "component", "n", "sketch")
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
         size = min(len(r[7]) for r in rows)
         words = np.stack([fold(np.frombuffer(r[7], np.uint8), size) for r in rows]).view(U)
-        chunk, ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        for x in range(len(rows)):
-            if chunk[x] != i:
-                continue
-            y = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(chunk == j)
-            y = y[comp[y] != comp[x]]
+        ids, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
+        asks = np.array([r[3] for r in rows], bool)
+        others = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks):
+            y = others[comp[others] != comp[x]]
             low, high = np.minimum(n[y], n[x]), np.maximum(n[y], n[x])
             y = y[high <= low * rule.denominator // rule.numerator]
-            if not len(y):
-                continue
             apart = np.bitwise_count(words[y] ^ words[x]).sum(1)
             near = apart <= (rule.denominator - rule.numerator) * (n[y] + n[x]) // (rule.denominator + rule.numerator)
             y, apart = y[near], apart[near]
-            if best and len(y):
+            several = np.zeros(len(y), bool)
+            if nearest and len(y):
                 order = np.argsort(apart, kind="stable")
-                y = y[order][np.unique(comp[y][order], return_index=True)[1]]
-            for z in y:
-                yield (min(ids[x], ids[z]), max(ids[x], ids[z]))
+                _, first, times = np.unique(comp[y][order], return_index=True, return_counts=True)
+                y, several = y[order][first], times > 1
+            for z, more in zip(y, several, strict=True):
+                yield (min(ids[x], ids[z]), max(ids[x], ids[z]), bool(more))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, bool]] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[:3] != group[0][:3]:
@@ -289,19 +301,22 @@ def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, best: bool
             yield as_batch(found)
 
     def as_batch(found: list) -> pa.RecordBatch:
-        a, b = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(list(map(int, a)), pa.int64()), pa.array(list(map(int, b)), pa.int64())], names=["a", "b"])
+        a, b, more = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(map(int, a)), pa.int64()), pa.array(list(map(int, b)), pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
-    return bounded(dealt).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    made = bounded(dealt).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, more boolean")
+    return made.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """The base table, saved; a digest that two different sets share is drawn anew with another salt."""
+def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The base table without and with rows that have no set or id, and class, head, n (its rows) of each class; a digest that two sets share is drawn anew with another salt."""
     for salt in range(8):
         base = scratch.save(base_table(docs, rule, salt), "base")
-        clash = base.where("n > 0").groupBy("class").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
-        if not clash.limit(1).count():
-            return base
+        known = base.where("n > 0 AND doc_id IS NOT NULL")
+        sums = base.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("x"), F.max("check").alias("y"))
+        heads = scratch.save(sums, "heads")
+        if not heads.where("x <> y").limit(1).count():
+            return known, base, heads.select("class", "head", "rows")
         scratch.drop(base)
     raise RuntimeError("class digests clash under eight salts; the corpus needs wider digests")
 
@@ -309,55 +324,49 @@ def classes(docs: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
 def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    base = classes(docs, rule, scratch)
-    known = base.where("n > 0 AND doc_id IS NOT NULL")
-    heads = scratch.save(known.groupBy("class").agg(F.min("doc_id").alias("head")), "heads")
-    headed = known.select("doc_id", "class").join(heads, "class")
-    repeated = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    copies = scratch.save(headed.where("doc_id <> head").select("doc_id").distinct().join(repeated, "doc_id", "left_anti"), "copies")
-    n_copies = copies.count()
-    head_keys = keep_ids(known.select("doc_id", "keys"), copies, "doc_id", "left_anti", n_copies)
-    head_base = keep_ids(known.select("doc_id", "n", "sketch"), copies, "doc_id", "left_anti", n_copies)
-
-    # One pair of each bucket: sums in the map tasks make any bucket one row a task.
-    buckets = signature_table(head_keys).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
+    known, base, heads = classes(docs, rule, scratch)
+    several = heads.where("rows > 1").select("class", "head")
+    n_several = several.count()
+    marked = known.join(F.broadcast(several) if n_several <= BROADCAST_IDS else several, "class", "left").where("head IS NULL OR head = doc_id").drop("head")
+    head_base = marked.select("doc_id", "n", "sketch")
+
+    # Sums in the map tasks make any bucket one row a task.
+    buckets = signature_table(marked).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
     buckets = scratch.save(buckets, "buckets")
-    links = linked(scratch.save(buckets.select("a", "b").distinct(), "first-pairs"), docs, head_base, rule, scratch)
+    links = linked(scratch.save(buckets.select("a", "b").distinct(), "pairs"), docs, head_base, rule, scratch)
     labels = components(links, scratch)
 
-    # Buckets of three and more: their other members against the smallest.
-    wide = scratch.save(buckets.where("size > 2").select("key", "a"), "wide")
-    n_wide = wide.count()
-    tested = buckets.select("a", "b").distinct()
-    if n_wide:
-        members = scratch.save(keep_ids(signature_table(head_keys), wide.select("key"), "key", "left_semi", n_wide).distinct(), "members")
-        open_members = unresolved(members, labels, scratch)
-
-        def further(pairs: DataFrame) -> bool:
-            """Check pairs not yet checked; whether any was linked."""
-            nonlocal links, labels, tested, open_members
-            pairs = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if not pairs.limit(1).count():
-                return False
-            tested = tested.unionByName(pairs)
-            more = linked(pairs, docs, head_base, rule, scratch)
-            if not more.limit(1).count():
-                return False
-            links = links.unionByName(more)
+    def join_up(pairs: DataFrame) -> None:
+        nonlocal labels
+        more = linked(pairs, docs, head_base, rule, scratch)
+        if more.limit(1).count():
             tree = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
             labels = components(tree.unionByName(more), scratch)
-            open_members = unresolved(open_members, labels, scratch)
-            return True
-
-        further(open_members.join(wide, "key").where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct())
-        if open_members.limit(1).count():
-            # Once: the nearest row of joined components is one of the nearest rows tested already.
-            further(large_pairs(open_members, head_base, rule, best=True))
-        if open_members.limit(1).count():
-            further(small_pairs(open_members).unionByName(large_pairs(open_members, head_base, rule, best=False)).distinct())
-
-    heads_labelled = scratch.save(heads.join(labels.select(F.col("id").alias("head"), "component"), "head", "left").select("class", F.coalesce("component", "head").alias("component"), "head"), "classes")
-    out = base.select("doc_id", "n", "class").join(heads_labelled, "class", "left")
+
+    # Buckets of three and more.
+    wide = scratch.save(buckets.where("size > 2").select("key", "a", "size"), "wide")
+    n_wide = wide.count()
+    if n_wide:
+        members = signature_table(marked).join(F.broadcast(wide) if n_wide <= BROADCAST_IDS else wide, "key")
+        members = scratch.save(members.distinct(), "members")
+        hot = exposed(members)
+        open_members = still_open(members.where(F.col("size") <= HOT).unionByName(hot), labels, scratch)
+        listed = small_pairs(open_members.where(F.col("size") <= HOT))
+        to_least = open_members.where((F.col("size") > HOT) & (F.col("id") != F.col("a"))).select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"))
+        join_up(scratch.save(listed.unionByName(to_least).distinct(), "pairs"))
+        hot = open_members.where(F.col("size") > HOT)
+        if hot.limit(1).count():
+            open_hot = still_open(hot, labels, scratch)
+            if open_hot.limit(1).count():
+                near = scratch.save(large_pairs(open_hot, head_base, rule, nearest=True), "near")
+                join_up(near.select("a", "b"))
+                if near.where("more").limit(1).count():
+                    rest = still_open(open_hot, labels, scratch)
+                    if rest.limit(1).count():
+                        join_up(scratch.save(large_pairs(rest, head_base, rule, nearest=False).select("a", "b"), "rest"))
+
+    labelled = heads.join(labels.select(F.col("id").alias("head"), "component"), "head", "left").select("class", F.coalesce("component", "head").alias("component"))
+    out = base.select("doc_id", "n", "class").join(labelled, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
