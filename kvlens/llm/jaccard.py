@@ -194,10 +194,15 @@ def pass_sketch(pairs: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
     return map_rows(joined.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long", rows=4096).distinct()
 
 
+def ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """Those (a, b) whose exact sets are linked."""
-    close = scratch.save(pass_sketch(pairs, base, rule), "close")
-    ids = scratch.save(close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "close-ids")
+    """Those (a, b) whose exact sets are linked; only rows of ``base`` and texts that are in pairs are moved."""
+    sketches = scratch.save(keep_ids(base, ends(pairs, scratch), "doc_id", "left_semi"), "sketches")
+    close = scratch.save(pass_sketch(pairs, sketches, rule), "close")
+    ids = ends(close, scratch)
 
     def sets_of(ids: list, texts: list) -> dict:
         return {"doc_id": ids, "hashes": [shingle_hashes(t, rule.words).tobytes() for t in texts]}
@@ -216,13 +221,18 @@ def linked(pairs: DataFrame, docs: DataFrame, base: DataFrame, rule: Rule, scrat
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h{x}"))
     joined = close.join(side("a"), "a").join(side("b"), "b")
     found = scratch.save(map_rows(joined.select("a", "b", "ha", "hb"), run, "a long, b long", rows=1024).distinct(), "links")
-    scratch.drop(sets, close, ids)
+    scratch.drop(sets, sketches, close, ids)
     return found
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows are counted few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS // 2 else df
+
+
 def still_open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of buckets that hold several components, with their component.  ``members``: key, id and more."""
-    marked = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = members.drop("component").join(few_rows(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
     marked = scratch.save(marked, "marked")
     keys = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     return scratch.save(marked.join(keys, "key", "left_semi"), "open")
@@ -242,22 +252,28 @@ def exposed(members: DataFrame) -> DataFrame:
     return large.join(short, ["id", "band"], "left_semi").drop("band")
 
 
-def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, nearest: bool) -> DataFrame:
+def large_pairs(open_members: DataFrame, base: DataFrame, rule: Rule, scratch: Scratch, askers: DataFrame | None = None) -> DataFrame:
     """a, b, more: pairs of different components in large buckets that pass the sketch.
 
     Rows outside a bucket's largest component are compared with all others: both are dealt to chunks, and
-    every two chunks meet in one group.  With ``nearest`` a row keeps only its nearest row of each other
-    component in a group; ``more`` says that others passed.
+    every two chunks meet in one group.  A row keeps its nearest row of each other component in a group, and
+    ``more`` says that others passed.  With ``askers`` (id) only these rows are compared, and every pair is kept.
     """
-    sizes = open_members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("largest"))
-    whole = whole.select("key", "rows", F.col("largest.component").alias("main"), (F.col("rows") - F.col("largest.n")).alias("minor"))
-    many = open_members.select("key", "id", "component").join(whole, "key").join(base.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
+    nearest = askers is None
+    rows = open_members.select("key", "id", "component").withColumn("asks", F.lit(True))
+    if askers is not None:
+        rows = rows.drop("asks").join(few_rows(askers.withColumn("asks", F.lit(True))), "id", "left").withColumn("asks", F.col("asks").isNotNull())
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking"))
+    whole = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("asking").alias("asking"), F.max(F.struct("n", "component", "asking")).alias("largest"))
+    whole = whole.select("key", "rows", F.col("largest.component").alias("main"), (F.col("asking") - F.col("largest.asking")).alias("minor")).where("minor > 0")
+    rows = scratch.save(rows.join(few_rows(scratch.save(whole, "whole")), "key"), "asked")
+    sketches = keep_ids(base, scratch.save(rows.select(F.col("id").alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi")
+    many = rows.join(sketches.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
     dealt = many.withColumn("at", F.explode(F.concat(
-        F.when(F.col("component") != F.col("main"), F.transform(every("rows"), lambda j: F.struct(own("minor").alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array()),
+        F.when(F.col("asks") & (F.col("component") != F.col("main")), F.transform(every("rows"), lambda j: F.struct(own("minor").alias("i"), j.alias("j"), F.lit(True).alias("asks")))).otherwise(F.array()),
         F.transform(every("minor"), lambda i: F.struct(i.alias("i"), own("rows").alias("j"), F.lit(False).alias("asks"))),
     )))
     dealt = dealt.select("key", "at.i", "at.j", "at.asks", "id", "component", "n", "sketch")
@@ -326,8 +342,7 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
     docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     known, base, heads = classes(docs, rule, scratch)
     several = heads.where("rows > 1").select("class", "head")
-    n_several = several.count()
-    marked = known.join(F.broadcast(several) if n_several <= BROADCAST_IDS else several, "class", "left").where("head IS NULL OR head = doc_id").drop("head")
+    marked = known.join(few_rows(several), "class", "left").where("head IS NULL OR head = doc_id").drop("head")
     head_base = marked.select("doc_id", "n", "sketch")
 
     # Sums in the map tasks make any bucket one row a task.
@@ -345,10 +360,8 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
 
     # Buckets of three and more.
     wide = scratch.save(buckets.where("size > 2").select("key", "a", "size"), "wide")
-    n_wide = wide.count()
-    if n_wide:
-        members = signature_table(marked).join(F.broadcast(wide) if n_wide <= BROADCAST_IDS else wide, "key")
-        members = scratch.save(members.distinct(), "members")
+    if wide.limit(1).count():
+        members = scratch.save(signature_table(marked).join(few_rows(wide), "key"), "members")
         hot = exposed(members)
         open_members = still_open(members.where(F.col("size") <= HOT).unionByName(hot), labels, scratch)
         listed = small_pairs(open_members.where(F.col("size") <= HOT))
@@ -358,12 +371,12 @@ def join_documents(rows: DataFrame, scratch: Scratch, rule: Rule, id_col: str =
         if hot.limit(1).count():
             open_hot = still_open(hot, labels, scratch)
             if open_hot.limit(1).count():
-                near = scratch.save(large_pairs(open_hot, head_base, rule, nearest=True), "near")
+                near = scratch.save(large_pairs(open_hot, head_base, rule, scratch), "near")
                 join_up(near.select("a", "b"))
-                if near.where("more").limit(1).count():
+                askers = scratch.save(near.where("more").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "askers")
+                if askers.limit(1).count():
                     rest = still_open(open_hot, labels, scratch)
-                    if rest.limit(1).count():
-                        join_up(scratch.save(large_pairs(rest, head_base, rule, nearest=False).select("a", "b"), "rest"))
+                    join_up(scratch.save(large_pairs(rest, head_base, rule, scratch, askers).select("a", "b"), "rest"))
 
     labelled = heads.join(labels.select(F.col("id").alias("head"), "component"), "head", "left").select("class", F.coalesce("component", "head").alias("component"))
     out = base.select("doc_id", "n", "class").join(labelled, "class", "left")
