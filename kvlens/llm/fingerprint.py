@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from kvlens.llm.common import BROADCAST_IDS, Scratch, documents, text_or_empty
 
-#: Rows of ids in one range when the order of the ids is found.
+#: Neighbouring ids that meet in one group, and groups in one range when the order of the groups is found.
+WIDTH = 1024
 ROWS_PER_RANGE = 50_000
 
 
@@ -84,39 +85,51 @@ def fingerprints(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 # -- edited texts -------------------------------------------------------------------------------------------
 
 
-def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, next_id, previous_half of distinct ids in ascending order; the last is followed by the first.
+def following(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """group, next_group, half of distinct groups in ascending order; the last is followed by the first.
 
-    Ids are dealt to ranges by a sample, ordered inside each, and the ranges are joined by their first ids;
-    only ids and sizes are moved.
+    Groups are dealt to ranges by a sample, ordered inside each, and the ranges are joined by their first groups.
     """
-    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("half").alias("half"))
-    n = rows.count()
-    ranged = scratch.save(ids.repartitionByRange(max(1, -(-n // ROWS_PER_RANGE)), "doc_id").withColumn("range", F.spark_partition_id()), "ranges")
-    ends = ranged.groupBy("range").agg(F.min("doc_id").alias("first"), F.max_by("half", "doc_id").alias("last_half"))
+    n = groups.count()
+    ranged = scratch.save(groups.repartitionByRange(max(1, -(-n // ROWS_PER_RANGE)), "group").withColumn("range", F.spark_partition_id()), "ranges")
     by_range = Window.orderBy("range")  # one row a range
-    around = Window.partitionBy()
-    ends = ends.withColumn("following", F.coalesce(F.lead("first").over(by_range), F.min("first").over(around))).withColumn("half_before", F.coalesce(F.lag("last_half").over(by_range), F.max_by("last_half", "range").over(around)))
-    inside = Window.partitionBy("range").orderBy("doc_id")
-    step = ranged.withColumn("next_in", F.lead("doc_id").over(inside)).withColumn("half_in", F.lag("half").over(inside)).withColumn("previous_in", F.lag("doc_id").over(inside))
-    joined = step.join(ends.select("range", "following", "half_before"), "range")
-    linked = joined.select("doc_id", F.coalesce("next_in", "following").alias("next_id"), F.coalesce("half_in", "half_before").alias("previous_half"))
-    return linked
+    ends = ranged.groupBy("range").agg(F.min("group").alias("first"))
+    ends = ends.withColumn("after", F.coalesce(F.lead("first").over(by_range), F.min("first").over(Window.partitionBy())))
+    inside = Window.partitionBy("range").orderBy("group")
+    step = ranged.withColumn("next_in", F.lead("group").over(inside)).join(ends.select("range", "after"), "range")
+    return step.select("group", F.coalesce("next_in", "after").alias("next_group"), "half")
 
 
-def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """doc_id, text, edited: the last half of each text replaced by the beginning of the next document's.
+def half(text: Column) -> Column:
+    return F.floor(F.length(text) / 2).cast("int")
 
-    The texts are shuffled once, by id; each then goes on only as the prefix that the document before it takes.
-    ``order``: doc_id, next_id, previous_half, previous_id.
+
+def spliced(text: Column, other: Column) -> Column:
+    """The text, its last half replaced by the beginning of the other."""
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - half(text)), F.substring(other, F.lit(1), half(text)))
+
+
+def edited_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text, next_id, edited: the last half of each text replaced by the beginning of the next document's.
+
+    The texts are shuffled once, at every size: WIDTH neighbouring ids meet in one group and are ordered there.
+    The first text of each group goes on, as the prefix that the last document of the group before it takes.
     """
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    keyed = texts.join(order, "doc_id", "left")
-    prefixes = keyed.where("previous_id IS NOT NULL").select(F.col("previous_id").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("previous_half").cast("int")).alias("prefix"))
-    prefixes = prefixes.groupBy("doc_id").agg(F.min("prefix").alias("prefix"))
-    n = F.length("text")
-    edited = F.when(F.col("prefix").isNull(), F.col("text")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), "prefix"))
-    return keyed.join(prefixes, "doc_id", "left").select("doc_id", "text", edited.alias("edited"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("group", F.floor(F.col("doc_id") / WIDTH))
+    known = texts.where("doc_id IS NOT NULL")
+    sizes = known.groupBy("group").agg(F.max(F.struct("doc_id", half(F.col("text")).alias("half"))).alias("last"))
+    chain = scratch.save(following(scratch.save(sizes.select("group", F.col("last.half").alias("half")), "groups"), scratch), "chain")
+
+    dealt = known.repartition("group")
+    # The frame holds the larger ids only, so that the least of it is the next document, also where ids repeat.
+    larger = Window.partitionBy("group").orderBy(F.desc("doc_id")).rangeBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumn("next", F.min(F.struct("doc_id", "text")).over(larger))
+    heads = dealt.groupBy("group").agg(F.min(F.struct("doc_id", "text")).alias("head")).join(chain.select(F.col("next_group").alias("group"), F.col("group").alias("before"), "half"), "group")
+    heads = heads.select(F.col("before").alias("group"), F.struct(F.col("head.doc_id").alias("doc_id"), F.substring(F.col("head.text"), F.lit(1), F.col("half")).alias("text")).alias("head"))
+    both = inner.join(heads, "group", "left").withColumn("next", F.coalesce("next", "head"))
+    found = both.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), spliced(F.col("text"), F.col("next.text")).alias("edited"))
+    unnamed = texts.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.col("text").alias("edited"))
+    return found.unionByName(unnamed)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str, bits: int = 128) -> DataFrame:
@@ -125,30 +138,23 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str, bits: int = 128) -> DataF
 
 def compare(docs: DataFrame, scratch: Scratch, bits: int = 128) -> DataFrame:
     """Fingerprints of texts and edited texts, and their likeness (1 if equal, else 0) to each other and to the next."""
-    sizes = scratch.save(docs.select("doc_id", F.floor(F.length(text_or_empty()) / 2).cast("long").alias("half")), "sizes")
-    order = scratch.save(neighbours(sizes, scratch), "order")
-    order = scratch.save(order.join(order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("previous_id")), "doc_id", "left"), "chain")
-
     hashed = lambda col: wide_hash(canonical(F.col(col)), bits)
-    rows = edited_texts(docs, order).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), hashed("text").alias("fingerprint"), hashed("edited").alias("edited_fingerprint"))
+    rows = edited_texts(docs, scratch).select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), hashed("text").alias("fingerprint"), hashed("edited").alias("edited_fingerprint"))
     rows = scratch.save(rows, "hashed")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     def texts(kind: str, ids: DataFrame) -> DataFrame:
-        if kind == "own":
-            rows = docs.join(few(ids), "doc_id", "left_semi").select("doc_id", canonical(text_or_empty()).alias("canonical"))
-        else:
-            wanted = order.join(few(ids), "doc_id", "left_semi")
-            needed = wanted.select("doc_id").union(wanted.select("next_id")).distinct()
-            # The chain is cut down to the wanted documents and those that follow them.
-            after = wanted.select(F.col("next_id").alias("doc_id"))
-            part = order.join(needed, "doc_id", "left_semi").join(after.distinct().withColumn("used", F.lit(True)), "doc_id", "left").withColumn("previous_id", F.when(F.col("used"), F.col("previous_id"))).drop("used")
-            rows = edited_texts(docs.join(few(needed), "doc_id", "left_semi"), part).join(few(ids), "doc_id", "left_semi").select("doc_id", canonical(F.col("edited")).alias("canonical"))
-        return rows.select("doc_id", wide_hash(F.col("canonical"), bits).alias("bucket"), "canonical")
+        found = own.join(few(ids), "doc_id", "left_semi")
+        if kind == "edited":
+            wanted = scratch.save(rows.join(few(ids), "doc_id", "left_semi").select("doc_id", "next_id").distinct(), "wanted")
+            after = own.join(few(wanted.select(F.col("next_id").alias("doc_id")).distinct()), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("next_id")).agg(F.min("text").alias("other"))
+            found = found.join(wanted.join(after, "next_id"), "doc_id").select("doc_id", spliced(F.col("text"), F.col("other")).alias("text"))
+        return found.select("doc_id", canonical(F.col("text")).alias("canonical")).select("doc_id", wide_hash(F.col("canonical"), bits).alias("bucket"), "canonical")
 
     buckets = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("own").alias("kind"), F.col("fingerprint").alias("bucket")), F.struct(F.lit("edited").alias("kind"), F.col("edited_fingerprint").alias("bucket")))).alias("b")).select("b.kind", "doc_id", "b.bucket")
     found = variants(buckets, texts, scratch)
     rows = with_variants(with_variants(rows, found, "own", "fingerprint"), found, "edited", "edited_fingerprint")
-    following = rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    both = rows.join(order.select("doc_id", "next_id").join(following, "next_id"), "doc_id", "left")
+    after = rows.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    both = rows.join(after, "next_id", "left")
     like = lambda a, b: F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), F.coalesce(like(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"))

@@ -385,3 +385,39 @@ def test_pipeline(spark, odd, empty):
     assert df.count() == before.count() and df.where("NOT lossless").count() == 0
     for root in (odd, empty):
         corpus_pipeline.run(spark, root).collect()
+
+
+def canonical_form(text):
+    import unicodedata
+
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return re.sub(r"[^\S\x1c-\x1f]+", " ", folded).strip(" ")
+
+
+def test_op2_likeness(spark, docs):
+    """Equal canonical texts, and only those, have equal fingerprints; near_edited and near_next follow from them."""
+    got, ids = rows(fingerprint.op2_fingerprints(spark, DATA)), sorted(docs)
+    forms, seen = {}, set()
+    for i, d in enumerate(ids):
+        text, after, half = docs[d], docs[ids[(i + 1) % len(ids)]], len(docs[d]) // 2
+        own, edited, following = (canonical_form(t) for t in (text, text[: len(text) - half] + after[:half], after))
+        assert (got[d].near_edited, got[d].near_next) == (float(own == edited), float(own == following))
+        for form, mark in ((own, got[d].fingerprint), (edited, got[d].edited_fingerprint)):
+            assert forms.setdefault(form, mark) == mark
+    seen = set(forms.values())
+    assert len(seen) == len(forms)
+
+
+@pytest.mark.parametrize("ids", [[5], [0, 1023, 1024, 5000, 5001], [-3, -1, 7, 7, 10_000_000, 1 << 40]])
+def test_op2_sparse_and_repeated_ids(spark, ids):
+    texts = [f"text {i} of {k} " * (k + 1) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)) + [(None, "unnamed text")], "doc_id long, text string")
+    got = fingerprint.compare(df, Scratch(spark, "t")).collect()
+    assert len(got) == len(ids) + 1
+    order = sorted(set(ids))
+    least = {i: min(t for j, t in zip(ids, texts, strict=True) if i == j) for i in order}
+    want = {hashlib.sha256(b"unnamed text").hexdigest()}
+    for i, text in zip(ids, texts, strict=True):
+        after = least[order[(order.index(i) + 1) % len(order)]]
+        want.add(hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest())
+    assert {r.edited_sha256 for r in got} == want
