@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kvlens.llm.common import BROADCAST_IDS, Scratch, documents, text_or_empty
 
 #: Neighbouring ids that meet in one group, and groups in one range when the order of the groups is found.
-WIDTH = 1024
+WIDTH = 256
 ROWS_PER_RANGE = 50_000
 
 
@@ -113,18 +113,18 @@ def edited_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text, next_id, edited: the last half of each text replaced by the beginning of the next document's.
 
     The texts are shuffled once, at every size: WIDTH neighbouring ids meet in one group and are ordered there.
-    The first text of each group goes on, as the prefix that the last document of the group before it takes.
+    The first text of each group, found in the map tasks where ids lie together, goes on as the prefix that the
+    last document of the group before it takes.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("group", F.floor(F.col("doc_id") / WIDTH))
     known = texts.where("doc_id IS NOT NULL")
     sizes = known.groupBy("group").agg(F.max(F.struct("doc_id", half(F.col("text")).alias("half"))).alias("last"))
     chain = scratch.save(following(scratch.save(sizes.select("group", F.col("last.half").alias("half")), "groups"), scratch), "chain")
 
-    dealt = known.repartition("group")
     # The frame holds the larger ids only, so that the least of it is the next document, also where ids repeat.
     larger = Window.partitionBy("group").orderBy(F.desc("doc_id")).rangeBetween(Window.unboundedPreceding, -1)
-    inner = dealt.withColumn("next", F.min(F.struct("doc_id", "text")).over(larger))
-    heads = dealt.groupBy("group").agg(F.min(F.struct("doc_id", "text")).alias("head")).join(chain.select(F.col("next_group").alias("group"), F.col("group").alias("before"), "half"), "group")
+    inner = known.withColumn("next", F.min(F.struct("doc_id", "text")).over(larger))
+    heads = known.groupBy("group").agg(F.min(F.struct("doc_id", "text")).alias("head")).join(chain.select(F.col("next_group").alias("group"), F.col("group").alias("before"), "half"), "group")
     heads = heads.select(F.col("before").alias("group"), F.struct(F.col("head.doc_id").alias("doc_id"), F.substring(F.col("head.text"), F.lit(1), F.col("half")).alias("text")).alias("head"))
     both = inner.join(heads, "group", "left").withColumn("next", F.coalesce("next", "head"))
     found = both.select("doc_id", "text", F.col("next.doc_id").alias("next_id"), spliced(F.col("text"), F.col("next.text")).alias("edited"))
