@@ -3,8 +3,11 @@
 Merges are taken from an agenda by score.  Each candidate that comes up is skipped by a draw of its own: a hash
 of the seed, the document, the copy and the word's place gives the gaps between skipped candidates, as many
 candidates long as independent draws would make them.  So each occurrence of a word is drawn anew, a seed gives
-the same segmentations again, and every segmentation is made of the model's own merges.  Only what doesn't
-depend on a draw is cached: the ids that a word has when the candidates at given turns are skipped.
+the same segmentations again, and every segmentation is made of the model's own merges.
+
+The words of a batch of texts that have a skip go through their agendas together, a turn of all words at a time,
+as rows of arrays of piece ids.  Only what doesn't depend on a draw is kept between batches: the ids of a word of
+which nothing is skipped.
 
 Defined cases: a null or empty text has no pieces; U+2581 in a text comes back as a space, as in the model's
 own decoder (``lossless`` is false there); all other texts come back whole; a row without id is named by its
@@ -28,8 +31,8 @@ from kvlens.llm.common import documents, map_rows, row_key, text_or_empty
 from kvlens.llm.tokens import vocabulary
 
 SPACE = "▁"
-#: Words whose ids without skips a worker remembers, and as many segmentations with skips.
-CACHE = 200_000
+#: Words whose ids without skips a worker remembers; longer words than LONG go through their agenda alone.
+CACHE, LONG = 400_000, 48
 MASK = (1 << 64) - 1
 #: A gap that no word reaches.
 NEVER = 1 << 62
@@ -41,6 +44,12 @@ def mixed(x: int) -> int:
     return x ^ (x >> 32)
 
 
+def mixed_all(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
 def place_hashes(key: int, n: int) -> np.ndarray:
     """Hashes of the places 0 to n - 1 under one key."""
     x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)
@@ -68,6 +77,24 @@ def skipped_turns(first: int, h: int, dropout: float) -> Iterator[int]:
         turn += 1 if dropout >= 1 else 1 + int(log(((h >> 11) + 1) * 2.0**-53) / log1p(-dropout))
 
 
+class Numbers(dict):
+    """A number for each word, in the order of their first use; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of runs that begin at ``starts``, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 class DropoutEncoder:
     def __init__(self, path: str):
         import sentencepiece
@@ -80,12 +107,29 @@ class DropoutEncoder:
         self.own = {p: self.ids[p] for p in self.score}
         self.pieces = [p for _, p in kinds]
         self.byte_id = [self.ids[f"<0x{b:02X}>"] for b in range(256)]
-        self.of_byte = {i: b for b, i in enumerate(self.byte_id)}
+        of_byte = {i: bytes((b,)) for b, i in enumerate(self.byte_id)}
+        self.raw = [of_byte.get(i, p.encode()) for i, p in kinds]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
             raise ValueError("a piece crosses a word's start; words can't be encoded apart")
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.plain: dict[str, tuple[int, list[int]]] = {}  # word -> turns, ids
-        self.varied: dict[tuple, tuple[int, list[int]]] = {}  # word, skipped turns -> turns, ids
+        # Merges as sorted keys of two ids, with the score and the id that they make.
+        joined = [(self.own[p[:i]] << 20 | self.own[p[i:]], self.score[p], n) for p, n in self.own.items() for i in range(1, len(p)) if p[:i] in self.own and p[i:] in self.own]
+        keys, scores, made = (np.array(x) for x in zip(*joined, strict=True))
+        order = np.argsort(keys)
+        self.keys, self.key_scores, self.made = keys[order], scores[order].astype(np.float32), made[order].astype(np.int32)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, n in self.own.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = n
+        inside = set("".join(self.own))
+        for b in range(128):  # characters of no piece are their byte, which nothing merges with
+            if chr(b) not in inside:
+                self.of_char[b] = self.byte_id[b]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.flat, self.starts, self.turns, self.lengths = (np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int64))
 
     def segment(self, word: str, skips: Iterator[int]) -> tuple[list[str], int, tuple[int, ...]]:
         """Pieces, the number of turns and those skipped.
@@ -136,57 +180,99 @@ class DropoutEncoder:
                 out.append(i)
         return out
 
-    def unskipped(self, word: str) -> tuple[int, list[int]]:
-        """Turns and ids of a word of which nothing is skipped; each turn then makes two pieces one."""
-        ids = self.model.encode(word[1:].replace(SPACE, " "))
-        if "".join([self.pieces[i] for i in ids]) == word:
-            found = len(word) - len(ids), ids
-        else:  # bytes, or a character that the library takes otherwise
-            pieces, turns, _ = self.segment(word, iter((NEVER,)))
-            found = turns, self.piece_ids(pieces)
-        if len(word) < 64:
-            if len(self.plain) > CACHE:
-                self.plain.clear()
-            self.plain[word] = found
-        return found
-
-    def skipping(self, word: str, first: int, h: int, dropout: float) -> list[int]:
-        """Ids of a word whose turn ``first`` is skipped, and maybe later ones."""
-        turns = skipped_turns(first, h, dropout)
-        if len(word) >= 64:
-            return self.piece_ids(self.segment(word, turns)[0])
-        met = (next(turns),)
-        while (known := self.varied.get((word, met))) is not None:
-            turn = next(turns)
-            if turn >= known[0]:
-                return known[1]
-            met += (turn,)
-        pieces, n, skipped = self.segment(word, chain(met, turns))
-        ids = self.piece_ids(pieces)
-        if len(self.varied) > CACHE:
-            self.varied.clear()
-        self.varied[word, skipped] = n, ids
-        return ids
+    def merge_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score (-inf if none) and id of what two pieces make."""
+        wanted = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.key_scores[at], np.float32(-np.inf)), self.made[at]
+
+    def rows(self, ids: np.ndarray, skip: np.ndarray, h: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """segment() of words of one length, as rows of the ids of their characters: ids in order, their number a row."""
+        n, size = ids.shape
+        stands = np.ones((n, size), bool)
+        after = np.tile(np.arange(1, size + 1), (n, 1))
+        before = after - 2
+        score, made = np.full((n, size), -np.inf, np.float32), np.zeros((n, size), np.int32)
+        if size > 1:
+            score[:, :-1], made[:, :-1] = self.merge_of(ids[:, :-1], ids[:, 1:])
+        skip, h, turn, row = skip.copy(), h.copy(), 0, np.arange(n)
+        while len(row):
+            a = score[row].argmax(1)
+            left = score[row, a] > -np.inf
+            row, a = row[left], a[left]
+            skips = skip[row] == turn
+            turn += 1
+            r, c = row[skips], a[skips]
+            if len(r):
+                score[r, c] = -np.inf
+                h[r] = mixed_all(h[r] + np.uint64(0x9E3779B97F4A7C15))
+                skip[r] += 1 + first_gaps(h[r], dropout)
+            r, c = row[~skips], a[~skips]
+            b = after[r, c]
+            e = after[r, b]
+            ids[r, c], after[r, c], stands[r, b], score[r, b], score[r, c] = made[r, c], e, False, -np.inf, -np.inf
+            x = np.flatnonzero(e < size)
+            rx, cx, ex = r[x], c[x], e[x]
+            before[rx, ex] = cx
+            score[rx, cx], made[rx, cx] = self.merge_of(ids[rx, cx], ids[rx, ex])
+            x = np.flatnonzero(c > 0)
+            rx, cx = r[x], c[x]
+            bx = before[rx, cx]
+            score[rx, bx], made[rx, bx] = self.merge_of(ids[rx, bx], ids[rx, cx])
+        return ids[stands], stands.sum(1)
+
+    def segment_all(self, words: list[str], first: np.ndarray, h: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, the number of each word's ids, and its turns where nothing is skipped."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        chars = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.cumsum(size) - size
+        alone = (np.minimum.reduceat(chars, starts) < 0) | (size > LONG)
+        lengths, turns, parts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), []
+        for n in np.unique(size[~alone]).tolist():
+            at = np.flatnonzero(~alone & (size == n))
+            ids, found = self.rows(chars[starts[at][:, None] + np.arange(n)], first[at], h[at], dropout)
+            lengths[at], turns[at] = found, n - found
+            parts.append((at, ids))
+        for i in np.flatnonzero(alone).tolist():  # bytes, rare characters and very long words
+            pieces, turns[i], _ = self.segment(words[i], skipped_turns(int(first[i]), int(h[i]), dropout))
+            ids = self.piece_ids(pieces)
+            lengths[i] = len(ids)
+            parts.append((np.array([i]), np.array(ids, np.int32)))
+        flat, places = np.empty(int(lengths.sum()), np.int32), np.cumsum(lengths) - lengths
+        for at, ids in parts:
+            flat[spread(places[at], lengths[at])] = ids
+        return flat, lengths, turns
+
+    def encode_all(self, texts: list[str], seed: int, docs: list[int], copies: list[int], dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and where each text's begin and end."""
+        found = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words = list(chain.from_iterable(found))
+        keys = (mixed(mixed(mixed(seed & MASK) ^ doc & MASK) + copy & MASK) for doc, copy in zip(docs, copies, strict=True))
+        hashes = np.concatenate([np.empty(0, np.uint64), *(place_hashes(k, len(w)) for k, w in zip(keys, found, strict=True))])
+        first = first_gaps(hashes, dropout)
+        if len(self.numbers) > CACHE:
+            self.forget()
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if new := self.numbers.new:
+            never = np.full(len(new), NEVER)
+            flat, lengths, turns = self.segment_all(new, never, never.astype(np.uint64), dropout)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.flat, self.lengths, self.turns = (np.concatenate(x) for x in ((self.flat, flat), (self.lengths, lengths), (self.turns, turns)))
+            new.clear()
+        starts, lengths = self.starts[number], self.lengths[number]
+        varied = np.flatnonzero(first < self.turns[number])
+        flat, own, _ = self.segment_all([words[i] for i in varied.tolist()], first[varied], hashes[varied], dropout)
+        starts[varied], lengths[varied] = len(self.flat) + np.cumsum(own) - own, own
+        ends = np.r_[0, np.cumsum(lengths)]
+        return np.concatenate([self.flat, flat])[spread(starts, lengths)], ends[np.cumsum([0, *map(len, found)])]
 
     def encode(self, text: str, seed: int, doc: int, copy: int, dropout: float) -> list[int]:
-        if not text:
-            return []
-        words = self.words(SPACE + text.replace(" ", SPACE))
-        hashes = place_hashes(mixed(mixed(mixed(seed & MASK) ^ doc & MASK) + copy & MASK), len(words))
-        plain, out = self.plain, []
-        for place, (word, first) in enumerate(zip(words, first_gaps(hashes, dropout).tolist(), strict=True)):
-            turns, ids = plain.get(word) or self.unskipped(word)
-            out.extend(ids if first >= turns else self.skipping(word, first, int(hashes[place]), dropout))
-        return out
+        return self.encode_all([text], seed, [doc], [copy], dropout)[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        of_byte, pieces = self.of_byte, self.pieces
-        if not any(i in of_byte for i in ids):
-            text = "".join([pieces[i] for i in ids])
-        else:
-            raw = b"".join(bytes((of_byte[i],)) if i in of_byte else pieces[i].encode() for i in ids)
-            text = raw.decode("utf-8", "replace")
-        return text.replace(SPACE, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
 _encoders: dict[str, DropoutEncoder] = {}
@@ -206,15 +292,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(ids: list, keys: list, numbers: list, texts: list) -> dict:
         own = encoder(vocabulary(model))
-        made, offsets, flat, same = [], [0], [], []
-        for key, number, text in zip(keys, numbers, texts, strict=True):
-            got = own.encode(text, seed, key, number, dropout)
-            flat.extend(got)
-            offsets.append(len(flat))
-            made.append(len(got))
-            same.append(own.decode(got) == text)
+        flat, offsets = own.encode_all(texts, seed, keys, numbers, dropout)
+        all_ids, at = flat.tolist(), offsets.tolist()
+        same = [own.decode(all_ids[a:b]) == text for a, b, text in zip(at, at[1:], texts, strict=False)]
         arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return {id_col: ids, "piece_ids": arrays, "n_pieces": made, "lossless": same}
+        return {id_col: ids, "piece_ids": arrays, "n_pieces": np.diff(offsets), "lossless": same}
 
     alike = Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))
     keyed = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))

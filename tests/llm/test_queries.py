@@ -421,3 +421,38 @@ def test_op2_sparse_and_repeated_ids(spark, ids):
         after = least[order[(order.index(i) + 1) % len(order)]]
         want.add(hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest())
     assert {r.edited_sha256 for r in got} == want
+
+
+def plain_agenda(own, word, h, dropout):
+    """Merge-dropout from its definition: scan for the best candidate, skip by the next draw."""
+    parts, skipped, turn = [(i, i + 1) for i in range(len(word))], set(), 0
+    turns = pieces.skipped_turns(int(pieces.first_gaps(pieces.np.array([h], pieces.np.uint64), dropout)[0]), h, dropout)
+    skip = next(turns)
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            (a, b), (_, e) = parts[k], parts[k + 1]
+            score = own.score.get(word[a:e])
+            if score is not None and (a, b, e) not in skipped and (best is None or score > best[0]):
+                best = (score, k, (a, b, e))
+        if best is None:
+            return own.piece_ids([word[a:b] for a, b in parts])
+        if turn == skip:
+            skipped.add(best[2])
+            skip = next(turns)
+        else:
+            parts[best[1] : best[1] + 2] = [(best[2][0], best[2][2])]
+        turn += 1
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_op9_equals_a_plain_agenda(docs, dropout):
+    own = pieces.encoder(tokens.vocabulary("piece_bpe_32k.model"))
+    texts = [t[:1500] for t in list(docs.values())[:25]] + ["", " ", "😀 日本 aé", "a" * 70 + " b", "ab" * 24 + " " + "ab" * 25]
+    flat, ends = own.encode_all(texts, 3, list(range(len(texts))), [1] * len(texts), dropout)
+    for i, text in enumerate(texts):
+        words = own.words("▁" + text.replace(" ", "▁")) if text else []
+        hashes = pieces.place_hashes(pieces.mixed(pieces.mixed(pieces.mixed(3) ^ i) + 1), len(words)).tolist()
+        want = [x for w, h in zip(words, hashes, strict=True) for x in plain_agenda(own, w, h, dropout)]
+        assert flat[ends[i] : ends[i + 1]].tolist() == want
+        assert own.decode(want) == text
