@@ -5,8 +5,8 @@ others as named users and the context roles (system) as they are; the mask names
 text that the speaker wrote and that a model should learn.
 
 Only DataFrame functions are used.  A render is cut into blocks of a bounded number of turns, so a
-conversation with a third of all rows never meets in one task: the blocks of a side, in order, make its whole
-text.  Texts are shuffled once; who takes part is found from narrow columns and meets the blocks under the
+conversation with a third of all rows never meets in one task: the parts of the blocks of a side, in order, make
+its whole text, and offsets count from a part's start.  Texts are shuffled once; who takes part is found from narrow columns and meets the blocks under the
 same partitioning.
 
 Defined cases: a null speaker is ``unknown``, a null text is empty, rows without a turn come last (in the
@@ -18,7 +18,7 @@ written ``< |`` so that no text can open or close a turn; other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvlens.llm.common import Scratch
@@ -26,9 +26,11 @@ from kvlens.llm.common import Scratch
 #: The marks around a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 CONTEXT = ("system",)
-#: Turns of a block are 2 ** BLOCK_BITS; a turn number with more rows than that is dealt to parts.
+#: Turn numbers of a block are 2 ** BLOCK_BITS; where one has more rows than that, its block is cut to parts of as many rows.
 BLOCK_BITS = 6
-#: Most hot turn numbers (about 40 bytes each) that are broadcast after their count has been checked.
+#: Rows of such blocks in one range of their order.
+ROWS_PER_RANGE = 20_000
+#: Most such blocks (about 40 bytes each) that are broadcast after their count has been checked.
 BROADCAST_TURNS = 500_000
 LAST_BLOCK = (1 << 57) + 1
 
@@ -47,16 +49,28 @@ def turn_table(conversations: DataFrame, conv_col: str = "conv_id", turn_col: st
 
 
 def dealt(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """``turns``; where very many rows have one turn number, with part: a hash's share of those rows, else 0."""
+    """``turns``; where a turn number has very many rows, with part: that of each row in its block's order, else 0.
+
+    Rows of such blocks are dealt to ranges of the order, numbered inside each, and the ranges' counts are summed.
+    """
     most = 1 << BLOCK_BITS
-    counts = turns.groupBy("key", F.coalesce("turn", F.lit(LAST_BLOCK)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    hot = scratch.save(counts.where(F.col("n") > most).select("key", "t", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot-turns")
-    n_hot = hot.count()
+    counts = turns.groupBy("key", "block", "turn").agg(F.count(F.lit(1)).alias("n"))
+    hot = scratch.save(counts.where(F.col("n") > most).groupBy("key", "block").agg(F.sum("n").alias("rows")), "hot-blocks")
+    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if not n_hot:
         return turns
-    joined = turns.withColumn("t", F.coalesce("turn", F.lit(LAST_BLOCK))).join(F.broadcast(hot) if n_hot <= BROADCAST_TURNS else hot, ["key", "t"], "left")
-    # A hot turn number is a block of its own kind: its parts follow each other inside the block of its turns.
-    return joined.withColumn("part", F.coalesce(F.pmod(F.xxhash64("speaker", "text"), F.col("parts")).cast("int"), F.lit(0))).drop("t", "parts")
+    few = F.broadcast(hot) if n_hot <= BROADCAST_TURNS else hot
+    cold = turns.join(few, ["key", "block"], "left_anti").withColumn("part", F.lit(0).cast("long"))
+    order = [F.col("turn").asc_nulls_last(), F.col("speaker"), F.col("text")]
+    # Few characters of a text decide on its range, so that the sample of ranges stays small.
+    by = ["key", "block", order[0], "speaker", F.substring("text", 1, 256)]
+    rows = turns.join(few, ["key", "block"], "left_semi").distinct().repartitionByRange(max(1, -(-n_rows // ROWS_PER_RANGE)), *by)
+    rows = scratch.save(rows.withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("key", "block", "range").agg(F.count(F.lit(1)).alias("n"))
+    starts = scratch.save(sizes.withColumn("start", F.sum("n").over(Window.partitionBy("key", "block").orderBy("range")) - F.col("n")).drop("n"), "starts")
+    inside = F.row_number().over(Window.partitionBy("key", "block", "range").orderBy(*order)) - 1
+    placed = rows.withColumn("inside", inside).join(starts, ["key", "block", "range"]).withColumn("part", F.shiftright(F.col("start") + F.col("inside"), BLOCK_BITS))
+    return cold.unionByName(placed.select(*cold.columns))
 
 
 def head_of(speaker: Column, perspective: Column, context: tuple[str, ...]) -> Column:
@@ -93,7 +107,7 @@ def rotate(conversations: DataFrame, scratch: Scratch, context: tuple[str, ...]
     perspective = F.col("perspective")
     segment = lambda t: F.concat(head_of(t["speaker"], perspective, context), t["text"], F.lit(CLOSE + "\n"))
     return both.select(
-        "conv_id", "block", F.col("part") if "part" in place else F.lit(0).alias("part"), "perspective",
+        "conv_id", "block", (F.col("part") if "part" in place else F.lit(0).cast("long")).alias("part"), "perspective",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", segment), "").alias("rendered"),
         spans_of(F.col("turns"), perspective, context).alias("mask"),
@@ -106,29 +120,34 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("mask", written)
 
 
-#: The parts of hot turn numbers are dealt by a hash that DuckDB lacks; the statement holds where none has over 64 rows.
 OP4_SQL = """
-WITH turns AS (
+WITH crowded AS (
+  SELECT DISTINCT conv_id, coalesce(turn >> 6, 144115188075855873) AS block FROM conversations GROUP BY conv_id, turn HAVING count(*) > 64),
+turns AS (
   SELECT DISTINCT conv_id, coalesce(turn >> 6, 144115188075855873) AS block, turn, coalesce(role, 'unknown') AS speaker,
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
+parted AS (
+  SELECT t.*, CASE WHEN c.block IS NULL THEN 0 ELSE (row_number() OVER (
+           PARTITION BY t.conv_id, t.block ORDER BY turn NULLS LAST, speaker, text) - 1) >> 6 END AS part
+  FROM turns t LEFT JOIN crowded c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.block = t.block),
 speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
 sides AS (
-  SELECT b.conv_id, b.block, s.perspective FROM (SELECT DISTINCT conv_id, block FROM turns) b
+  SELECT b.conv_id, b.block, b.part, s.perspective FROM (SELECT DISTINCT conv_id, block, part FROM parted) b
   LEFT JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM b.conv_id),
 segments AS (
-  SELECT s.conv_id, s.block, s.perspective, t.turn, t.speaker, t.text, t.speaker IS NOT DISTINCT FROM s.perspective AS own,
+  SELECT s.conv_id, s.block, s.part, s.perspective, t.turn, t.speaker, t.text, t.speaker IS NOT DISTINCT FROM s.perspective AS own,
          '<|im_start|>' || CASE WHEN t.speaker IS NOT DISTINCT FROM s.perspective THEN 'assistant'
            WHEN t.speaker = 'system' THEN 'system'
            ELSE 'user name=' || regexp_replace(t.speaker, '[\\x00-\\x20<>|]', '_', 'g') END || chr(10) AS head
-  FROM sides s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.block = s.block),
+  FROM sides s JOIN parted t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.block = s.block AND t.part = s.part),
 placed AS (
   SELECT *, CAST(length(head) + coalesce(sum(length(head) + length(text) + 11) OVER (
-           PARTITION BY conv_id, block, perspective ORDER BY turn NULLS LAST, speaker, text
+           PARTITION BY conv_id, block, part, perspective ORDER BY turn NULLS LAST, speaker, text
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins
   FROM segments)
-SELECT conv_id, block, CAST(0 AS INTEGER) AS part, perspective, count(*) AS n_turns,
+SELECT conv_id, block, CAST(part AS BIGINT) AS part, perspective, count(*) AS n_turns,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS LAST, speaker, text) AS rendered,
        coalesce(string_agg(begins || ':' || (begins + length(text) + 10), ',' ORDER BY begins) FILTER (WHERE own), '') AS mask
-FROM placed GROUP BY conv_id, block, perspective
+FROM placed GROUP BY conv_id, block, part, perspective
 """

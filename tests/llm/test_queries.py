@@ -128,11 +128,30 @@ def test_one_of_each(spark):
     assert sorted(kept) == [(3, "x"), (7, "x"), (8, "x"), (9, "a")]
 
 
-def test_op4_hot_turn_is_whole(spark, odd):
-    got = [r for r in chat.op4_chat(spark, odd).collect() if r.conv_id == 3]
-    assert sum(r.n_turns for r in got) == 200 and max(r.n_turns for r in got) < 130
-    for r in got:
-        assert len(r["mask"].split(",")) == r.n_turns
+def test_op4_hot_turns_are_in_order(spark, odd):
+    """Turn numbers with very many rows, between other turns: the parts of a side in order are the brute-force render."""
+    turns = [(3, 4, "a", "before")] + [(3, 5, "c" if i % 3 else "b", f"t{i % 150}") for i in range(300)] + [(3, 6, "b", "after"), (3, 700, "c", "later")]
+    turns += [(4, None, "x", f"n{i}") for i in range(100)] + [(None, 1, "y", f"m{i}") for i in range(70)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df, Scratch(spark, "t")).orderBy("block", "part").collect()
+    assert max(r.n_turns for r in got) <= 64
+    for conv in (3, 4, None):
+        own = sorted({(t[1] is None, t[1] or 0, t[2], t[3]) for t in turns if t[0] == conv})
+        for side in {t[2] for t in own}:
+            parts = [r for r in got if r.conv_id == conv and r.perspective == side]
+            want = "".join(f"<|im_start|>{'assistant' if s == side else 'user name=' + s}\n{text}<|im_end|>\n" for _, _, s, text in own)
+            assert "".join(r.rendered for r in parts) == want
+            learnt = [r.rendered[m.start : m.end] for r in parts for m in r["mask"]]
+            assert learnt == [f"{text}<|im_end|>" for _, _, s, text in own if s == side]
+
+
+def test_op4_oracle_on_odd_rows(spark, odd):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{odd}/conversations.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op4_chat"])
+    cols = [d[0] for d in want.description]
+    got = chat.op4_chat(spark, odd)
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def test_op5_held_out(spark):
