@@ -59,10 +59,13 @@ def stats(objects: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def unservable_reason() -> Column:
-    """Why an object (left-joined; null state: absent) can't be served; null if it can."""
+    """Why an object (left-joined; null state: absent) can't be served; null if it can.
+
+    States that a stored object shouldn't be found in (committed, evicting) are an inconsistent catalog.
+    """
     state = F.col("state")
-    by_state = F.when(state.isin("missing", "evicted", "evicting", "corrupt", "quarantined"), F.concat(F.lit("object_"), state))
-    return F.when(state.isNull(), F.lit("object_absent")).when(is_servable(), F.lit(None).cast("string")).otherwise(F.coalesce(by_state, F.lit("object_not_serveable")))
+    by_state = F.when(state.isin("staging", "missing", "evicted", "corrupt", "quarantined"), F.concat(F.lit("object_"), state))
+    return F.when(state.isNull(), F.lit("object_absent")).when(is_servable(), F.lit(None).cast("string")).otherwise(F.coalesce(by_state, F.lit("catalog_inconsistent")))
 
 
 def opaque_index(compat: DataFrame) -> DataFrame:

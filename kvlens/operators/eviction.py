@@ -83,8 +83,8 @@ def outcome(taken: DataFrame, on_disk: int, target_bytes: int, dry_run: bool = F
 
 
 def skip_counts(objects: DataFrame, locations: DataFrame) -> DataFrame:
-    """One row: objects on disk that are pinned, and objects that can't go as their state forbids or no file is known."""
+    """One row: objects on disk that are pinned, and unpinned ones that can't go as their state forbids or no file is known."""
     disk = locations.where("tier = 'disk'").select("object_id", F.lit(True).alias("on_disk"))
     pinned = F.count_if(F.col("on_disk").isNotNull() & (F.col("pin_count") > 0))
-    unsafe = F.count_if(F.col("on_disk").isNull() | ~F.col("state").isin("committed", "verified", "evictable"))
+    unsafe = F.count_if((F.col("pin_count") == 0) & (F.col("on_disk").isNull() | ~F.col("state").isin("committed", "verified", "evictable")))
     return objects.join(disk, "object_id", "left").agg(pinned.alias("pinned_count"), unsafe.alias("unsafe_count"))

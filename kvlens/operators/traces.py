@@ -12,7 +12,7 @@ def summarize(trace: DataFrame, *by: str) -> DataFrame:
     """Bytes and counts by event type; the longest duration, and the reason of the last line that has one."""
     total = lambda *t: F.coalesce(F.sum(F.when(F.col("event_type").isin(*t), F.col("bytes"))), F.lit(0))
     count = lambda *t: F.count_if(F.col("event_type").isin(*t))
-    last = F.max(F.when(F.col("reason_code").isNotNull(), F.struct("line_no", "reason_code")))["reason_code"]
+    last = F.max(F.when(F.col("reason_code") != "", F.struct("line_no", "reason_code")))["reason_code"]
     return trace.groupBy(*by).agg(
         total("chunk_sent", "get_chunk_sent").alias("bytes_sent"), total("chunk_received").alias("bytes_received"), count("chunk_retry", "chunk_retried").alias("retries"),
         count("chunk_timeout", "transfer_timeout").alias("timeouts"), F.max("duration_ms").alias("duration_ms"), last.alias("reason_code"),
@@ -27,23 +27,25 @@ def ack_latency(trace: DataFrame, *by: str) -> DataFrame:
 
 
 class PathHealth:
-    """Two failures in a row degrade a path and three end it; a timeout degrades; an acknowledgement heals."""
+    """Two failures in a row degrade a path and three end it; a timeout degrades; an acknowledgement heals all but a dead one."""
 
     def __init__(self, health: str = "healthy", failures: int = 0, timeouts: int = 0, ewma: float | None = None):
         self.health, self.failures, self.timeouts, self.ewma = health, failures, timeouts, ewma
 
     def step(self, event_type: str, duration_ms: float | None) -> None:
         if event_type == "chunk_ack":
-            self.failures, self.health = 0, "healthy"
+            if self.health != "dead":
+                self.failures, self.health = 0, "healthy"
             if duration_ms is not None:
                 self.ewma = duration_ms if self.ewma is None else 0.25 * duration_ms + 0.75 * self.ewma
         elif event_type == "chunk_timeout":
             self.timeouts += 1
             self.failures += 1
-            self.health = "dead" if self.failures >= 3 else "degraded"
+            if self.health != "dead":
+                self.health = "dead" if self.failures >= 3 else "degraded"
         elif event_type == "chunk_retry":
             self.failures += 1
-            if self.failures >= 2:
+            if self.failures >= 2 and self.health != "dead":
                 self.health = "dead" if self.failures >= 3 else "degraded"
 
 

@@ -122,7 +122,7 @@ def evict_max_objects(t):
 
 
 @query("""SELECT count(*) FILTER (WHERE l.object_id IS NOT NULL AND pin_count > 0) AS pinned_count,
-count(*) FILTER (WHERE l.object_id IS NULL OR state NOT IN ('committed', 'verified', 'evictable')) AS unsafe_count
+count(*) FILTER (WHERE pin_count = 0 AND (l.object_id IS NULL OR state NOT IN ('committed', 'verified', 'evictable'))) AS unsafe_count
 FROM v_objects o LEFT JOIN v_locations l ON l.object_id = o.object_id AND tier = 'disk'""")
 def eviction_skip_counts(t):
     return eviction.skip_counts(t("v_objects"), t("v_locations"))
@@ -130,15 +130,29 @@ def eviction_skip_counts(t):
 
 # -- manifests ----------------------------------------------------------------------------------------------
 
-MISSING = f"""WITH missing AS (SELECT m.manifest_id, m.object_id, layer_id, kv_block_id,
-  CASE WHEN s.state IS NULL THEN 'object_absent' WHEN {CAN_SERVE} THEN NULL
-       WHEN state IN ('missing', 'evicted', 'evicting', 'corrupt', 'quarantined') THEN concat('object_', state)
-       ELSE 'object_not_serveable' END AS reason
-  FROM v_members m LEFT JOIN (SELECT * FROM v_objects WHERE object_id IN (SELECT object_id FROM v_locations WHERE tier = 'disk')) s
+BELONGS = """WITH checked AS (SELECT m.manifest_id, m.object_id, m.layer_id, m.kv_block_id, m.required, c.object_id IS NOT NULL AS described,
+  CASE WHEN f.model_hash IS DISTINCT FROM c.model_hash THEN 'model_hash mismatch'
+       WHEN c.prefix_hash IS DISTINCT FROM f.prefix_hash OR f.prefix_hash IS NULL THEN 'prefix_hash mismatch'
+       WHEN c.token_range_start IS NULL THEN 'token_range_start missing' WHEN c.token_range_end IS NULL THEN 'token_range_end missing'
+       WHEN c.token_range_start < f.token_range_start OR c.token_range_end > f.token_range_end OR c.token_range_end < c.token_range_start
+       THEN 'token range mismatch' END AS mismatch
+  FROM v_members m JOIN v_manifests f ON f.manifest_id = m.manifest_id LEFT JOIN v_compat c ON c.object_id = m.object_id)
+"""
+MISSING = BELONGS.rstrip() + f""",
+missing AS (SELECT m.manifest_id, m.object_id, layer_id, kv_block_id,
+  CASE WHEN s.state IS NULL OR NOT described THEN 'object_absent'
+       WHEN {CAN_SERVE} THEN CASE WHEN mismatch IS NOT NULL THEN 'compatibility_mismatch' END
+       WHEN state IN ('staging', 'evicted', 'quarantined', 'corrupt', 'missing') THEN concat('object_', state)
+       ELSE 'catalog_inconsistent' END AS reason
+  FROM checked m LEFT JOIN (SELECT * FROM v_objects WHERE object_id IN (SELECT object_id FROM v_locations WHERE tier = 'disk')) s
   ON s.object_id = m.object_id WHERE required = 1)
 """
 
 
+def missing_of(t):
+    return manifests.missing_members(t("v_members"), t("v_objects"), t("v_locations"), t("v_manifests"), t("v_compat"))
+
+
 @query("""SELECT manifest_id, object_id, layer_id, kv_block_id, required,
 row_number() OVER (PARTITION BY manifest_id ORDER BY layer_id NULLS LAST, kv_block_id NULLS LAST, object_id) AS place FROM v_members""")
 def manifest_members_ordered(t):
@@ -147,28 +161,49 @@ def manifest_members_ordered(t):
 
 @query(MISSING + "SELECT * FROM missing WHERE reason IS NOT NULL")
 def manifest_missing_members(t):
-    return manifests.missing_members(t("v_members"), t("v_objects"), t("v_locations"))
+    return missing_of(t)
 
 
-@query(MISSING + """SELECT manifest_id, count(reason) AS missing_count,
-CASE WHEN bool_or(coalesce(reason IN ('object_corrupt', 'object_quarantined', 'object_missing'), false)) THEN 'corrupt'
+@query(MISSING + """SELECT manifest_id, count(missing.manifest_id) AS required_count, count(missing.manifest_id) - count(reason) AS serveable_required_count, count(reason) AS missing_count,
+CASE WHEN bool_or(coalesce(reason IN ('object_corrupt', 'compatibility_mismatch', 'catalog_inconsistent'), false)) THEN 'corrupt'
      WHEN count(reason) > 0 THEN 'incomplete' ELSE 'complete' END AS completeness_state
 FROM v_manifests LEFT JOIN missing USING (manifest_id) GROUP BY manifest_id""")
 def manifest_completeness(t):
-    return manifests.completeness(t("v_manifests"), manifests.missing_members(t("v_members"), t("v_objects"), t("v_locations")))
+    return manifests.completeness(t("v_manifests"), t("v_members"), missing_of(t))
 
 
-@query("""SELECT manifest_id, layer_id, kv_block_id FROM v_manifests, (SELECT unnest(range(0, 4)) AS layer_id), (SELECT unnest(range(1, 8)) AS kv_block_id)
-EXCEPT SELECT manifest_id, layer_id, kv_block_id FROM v_members""")
+@query("""SELECT manifest_id, layer_id, kv_block_id, 'expected_member_missing' AS reason FROM (
+SELECT manifest_id, layer_id, kv_block_id FROM v_manifests, (SELECT unnest(range(0, 4)) AS layer_id), (SELECT unnest(range(0, 7)) AS kv_block_id)
+EXCEPT SELECT manifest_id, layer_id, kv_block_id FROM v_members WHERE required = 1)""")
 def manifest_expected_coverage(t):
-    return manifests.uncovered(t("v_manifests"), t("v_members"), 4, 1, 7)
+    return manifests.uncovered(t("v_manifests"), t("v_members"), 4, 7)
+
+
+@query(BELONGS + "SELECT manifest_id, object_id, mismatch FROM checked WHERE described AND mismatch IS NOT NULL")
+def manifest_identity_violations(t):
+    return manifests.identity_violations(t("v_manifests"), t("v_members"), t("v_compat"))
+
+
+@query(BELONGS.rstrip() + f""",
+servable AS (SELECT object_id FROM v_objects WHERE {CAN_SERVE} AND object_id IN (SELECT object_id FROM v_locations WHERE tier = 'disk') AND object_id IN (SELECT object_id FROM v_compat)),
+judged AS (SELECT c.*, f.pin_count, CASE WHEN s.object_id IS NULL THEN 'member is not serveable' ELSE mismatch END AS refused
+  FROM checked c JOIN v_manifests f ON f.manifest_id = c.manifest_id LEFT JOIN servable s ON s.object_id = c.object_id)
+SELECT manifest_id, object_id, refused, CAST(CASE WHEN refused IS NULL AND required = 1 THEN pin_count ELSE 0 END AS BIGINT) AS pins FROM judged""")
+def manifest_add_members(t):
+    return manifests.add_members(t("v_members"), t("v_manifests"), t("v_objects"), t("v_locations"), t("v_compat"))
 
 
-@query("""SELECT m.manifest_id, m.object_id, c.token_range_start, c.token_range_end
-FROM v_members m JOIN v_manifests f ON f.manifest_id = m.manifest_id JOIN v_compat c ON c.object_id = m.object_id
-WHERE NOT coalesce(c.token_range_start >= f.token_range_start AND c.token_range_end <= f.token_range_end, false)""")
-def manifest_range_violations(t):
-    return manifests.range_violations(t("v_manifests"), t("v_members"), t("v_compat"))
+@query("""SELECT manifest_id, completeness_state, pin_count, count(m.object_id) AS member_count, count(*) FILTER (WHERE required = 1) AS required_count
+FROM v_manifests LEFT JOIN v_members m USING (manifest_id) GROUP BY ALL""")
+def manifest_inspection(t):
+    return manifests.inspect(t("v_manifests"), t("v_members")).select("manifest_id", "completeness_state", "pin_count", "member_count", "required_count")
+
+
+@query("""SELECT o.object_id, m.manifest_id, 'pin' AS op FROM v_members m JOIN v_manifests f ON f.manifest_id = m.manifest_id
+JOIN v_objects o ON o.object_id = m.object_id WHERE required = 1 AND f.pin_count > 0""")
+def manifest_pin_records(t):
+    pinned = t("v_manifests").where("pin_count > 0").select("manifest_id")
+    return manifests.pin_records(pinned, t("v_members").join(t("v_objects").select("object_id"), "object_id", "left_semi"))
 
 
 # -- opaque keys --------------------------------------------------------------------------------------------
@@ -200,34 +235,89 @@ def opaque_key_lookup(t):
 
 # -- audit --------------------------------------------------------------------------------------------------
 
-ORPHANS = "SELECT 'payload_file_without_catalog_entry' AS finding_type, 'warning' AS severity, object_id, CAST(NULL AS STRING) AS manifest_id FROM v_files WHERE object_id NOT IN (SELECT object_id FROM v_objects)"
-LOST = """SELECT 'object_location_missing' AS finding_type, 'error' AS severity, object_id, CAST(NULL AS STRING) AS manifest_id FROM v_objects
-WHERE object_id NOT IN (SELECT object_id FROM v_locations)
-UNION ALL SELECT 'catalog_object_missing_payload_file', 'error', object_id, NULL FROM v_objects
-WHERE object_id IN (SELECT object_id FROM v_locations) AND object_id NOT IN (SELECT object_id FROM v_files)"""
-MEMBERS = f"""SELECT CASE WHEN state IS NULL THEN 'manifest_member_object_missing' ELSE 'manifest_member_object_not_serveable' END AS finding_type,
-'error' AS severity, m.object_id, m.manifest_id FROM v_members m LEFT JOIN v_objects o ON o.object_id = m.object_id WHERE state IS NULL OR NOT {CAN_SERVE}"""
-DAMAGED = "SELECT 'byte_length_mismatch', 'error', o.object_id, NULL FROM v_objects o JOIN v_files f ON f.object_id = o.object_id WHERE byte_length <> payload_bytes"
+CHECKED = f"""WITH seen AS (SELECT o.*, l.object_id IS NOT NULL AS placed, l.meta_path AS known_meta, l.payload_path AS known_payload,
+    f.meta_path, f.payload_path, f.payload_bytes, f.found_id, f.found_descriptor_hash, f.found_payload_hash, f.reason_code,
+    coalesce(has_meta, false) AS meta, coalesce(has_payload, false) AS payload, coalesce(metadata_ok, false) AS parsed
+  FROM v_objects o LEFT JOIN v_locations l ON l.object_id = o.object_id AND tier = 'disk' LEFT JOIN v_files f ON f.object_id = o.object_id),
+known AS (SELECT object_id, state, placed, placed AND meta AND payload AND parsed AND reason_code = 'accepted' AND known_meta IS NOT DISTINCT FROM meta_path
+    AND known_payload IS NOT DISTINCT FROM payload_path AND {CAN_SERVE} AS servable FROM seen),
+valid AS (SELECT * FROM seen WHERE placed AND meta AND payload AND parsed AND reason_code = 'accepted'),
+objects_found AS (
+  SELECT 'object_location_missing' AS finding_type, 'error' AS severity, object_id, CAST(NULL AS STRING) AS manifest_id FROM seen WHERE NOT placed
+  UNION ALL SELECT 'object_location_path_mismatch', 'error', object_id, NULL FROM seen WHERE placed AND (known_meta IS DISTINCT FROM meta_path OR known_payload IS DISTINCT FROM payload_path)
+  UNION ALL SELECT 'catalog_object_missing_metadata_file', 'error', object_id, NULL FROM seen WHERE placed AND NOT meta
+  UNION ALL SELECT 'catalog_object_missing_payload_file', 'error', object_id, NULL FROM seen WHERE placed AND NOT payload
+  UNION ALL SELECT 'metadata_parse_failed', 'critical', object_id, NULL FROM seen WHERE placed AND meta AND payload AND NOT parsed
+  UNION ALL SELECT CASE reason_code WHEN 'payload_hash_mismatch' THEN reason_code WHEN 'descriptor_hash_mismatch' THEN 'metadata_hash_mismatch'
+      WHEN 'object_id_mismatch' THEN reason_code WHEN 'byte_length_mismatch' THEN reason_code ELSE 'object_validation_failed' END, 'critical', object_id, NULL
+    FROM seen WHERE placed AND meta AND payload AND parsed AND reason_code <> 'accepted'
+  UNION ALL SELECT 'object_id_mismatch', 'critical', object_id, NULL FROM valid WHERE found_id <> object_id
+  UNION ALL SELECT 'metadata_hash_mismatch', 'critical', object_id, NULL FROM valid WHERE found_descriptor_hash <> descriptor_hash
+  UNION ALL SELECT 'payload_hash_mismatch', 'critical', object_id, NULL FROM valid WHERE found_payload_hash <> payload_hash
+  UNION ALL SELECT 'byte_length_mismatch', 'error', object_id, NULL FROM valid WHERE payload_bytes <> byte_length),
+lost AS (SELECT * FROM v_files WHERE object_id NOT IN (SELECT object_id FROM v_objects)),
+files_found AS (
+  SELECT 'metadata_file_without_catalog_entry' AS finding_type, 'warning' AS severity, object_id, CAST(NULL AS STRING) AS manifest_id FROM lost WHERE has_meta
+  UNION ALL SELECT 'payload_file_without_catalog_entry', 'warning', object_id, NULL FROM lost WHERE has_payload
+  UNION ALL SELECT 'orphan_file_path_mismatch', 'error', object_id, NULL FROM lost WHERE has_meta AND has_payload AND NOT at_own_path
+  UNION ALL SELECT 'invalid_committed_filename', 'warning', object_id, NULL FROM v_names WHERE NOT valid
+  UNION ALL SELECT 'staging_transfer_abandoned', 'warning', object_id, NULL FROM v_staging),
+members_found AS (
+  SELECT 'manifest_member_object_missing' AS finding_type, 'error' AS severity, m.object_id, m.manifest_id FROM v_members m LEFT JOIN known k ON k.object_id = m.object_id WHERE k.state IS NULL
+  UNION ALL SELECT 'manifest_member_object_not_serveable', 'error', m.object_id, m.manifest_id FROM v_members m JOIN known k ON k.object_id = m.object_id WHERE NOT coalesce(servable, false)
+  UNION ALL SELECT 'quarantined_object_referenced_by_complete_manifest', 'critical', m.object_id, m.manifest_id FROM v_members m JOIN known k ON k.object_id = m.object_id
+    JOIN v_manifests f ON f.manifest_id = m.manifest_id WHERE completeness_state = 'complete' AND state IN ('quarantined', 'corrupt')),
+idx AS (SELECT engine_name, integration_name, opaque_engine_key_hash, arg_max(object_id, (created_at_unix_ms, object_id)) AS object_id FROM v_compat
+  WHERE opaque_engine_key_hash IS NOT NULL AND engine_name IS NOT NULL AND integration_name IS NOT NULL GROUP BY ALL),
+index_found AS (
+  SELECT 'opaque_key_index_object_missing' AS finding_type, 'error' AS severity, i.object_id, CAST(NULL AS STRING) AS manifest_id FROM idx i LEFT JOIN v_objects o ON o.object_id = i.object_id WHERE o.object_id IS NULL
+  UNION ALL SELECT 'opaque_key_index_object_uninspectable', 'error', i.object_id, NULL FROM idx i JOIN known k ON k.object_id = i.object_id WHERE NOT placed),
+found AS (SELECT * FROM objects_found UNION ALL SELECT * FROM files_found UNION ALL SELECT * FROM members_found UNION ALL SELECT * FROM index_found)
+"""
+
+
+def seen_of(t):
+    return audit.inspected(t("v_objects"), t("v_locations"), t("v_files"))
+
+
+def audit_of(t):
+    return audit.audit(t("v_objects"), t("v_locations"), t("v_files"), t("v_members"), t("v_manifests"), catalog.opaque_index(t("v_compat")), t("v_compat"), t("v_names"), t("v_staging"))
 
 
-@query(ORPHANS)
+@query(CHECKED + "SELECT * FROM files_found")
 def fsck_orphans(t):
-    return audit.orphans(t("v_files"), t("v_objects"))
+    return audit.file_findings(t("v_files"), t("v_objects"), t("v_names"), t("v_staging"))
 
 
-@query(LOST)
-def fsck_missing_files(t):
-    return audit.missing_files(t("v_objects"), t("v_locations"), t("v_files"))
+@query(CHECKED + "SELECT * FROM objects_found")
+def fsck_objects(t):
+    return audit.object_findings(seen_of(t))
 
 
-@query(MEMBERS)
+@query(CHECKED + "SELECT * FROM members_found")
 def fsck_members(t):
-    return audit.member_findings(t("v_members"), t("v_objects"))
+    return audit.member_findings(t("v_members"), audit.inspectable(seen_of(t)), t("v_manifests").where("completeness_state = 'complete'"))
 
 
-@query(f"SELECT severity, finding_type, count(*) AS findings FROM ({ORPHANS} UNION ALL {LOST} UNION ALL {DAMAGED} UNION ALL {MEMBERS}) GROUP BY ALL")
+@query(CHECKED + "SELECT * FROM index_found")
+def fsck_opaque_index(t):
+    return audit.index_findings(catalog.opaque_index(t("v_compat")), audit.inspectable(seen_of(t)), t("v_compat"))
+
+
+@query(CHECKED + "SELECT severity, finding_type, count(*) AS findings FROM found GROUP BY ALL")
 def fsck_severity_counts(t):
-    return audit.severity_counts(audit.audit(t("v_objects"), t("v_locations"), t("v_files"), t("v_members")))
+    return audit.severity_counts(audit_of(t))
+
+
+@query(CHECKED + """SELECT CASE WHEN manifest_id IS NULL THEN object_id END AS object_id, manifest_id, CASE WHEN manifest_id IS NULL THEN 'missing' ELSE 'incomplete' END AS new_state
+FROM found WHERE finding_type IN ('object_location_missing', 'catalog_object_missing_metadata_file', 'catalog_object_missing_payload_file', 'manifest_member_object_missing', 'manifest_member_object_not_serveable') GROUP BY ALL""")
+def fsck_repairs(t):
+    return audit.repairs(audit_of(t), "repair")
+
+
+@query(CHECKED + "SELECT object_id FROM lost WHERE has_meta AND has_payload AND at_own_path AND metadata_ok AND reason_code = 'accepted' AND found_id = object_id")
+def fsck_importable(t):
+    return audit.importable(t("v_files"), t("v_objects"))
 
 
 # -- lifecycle ----------------------------------------------------------------------------------------------
@@ -276,7 +366,7 @@ def lifecycle_snapshot(t):
 @query("""SELECT transfer_id, CAST(coalesce(sum(bytes) FILTER (WHERE event_type IN ('chunk_sent', 'get_chunk_sent')), 0) AS BIGINT) AS bytes_sent,
 CAST(coalesce(sum(bytes) FILTER (WHERE event_type = 'chunk_received'), 0) AS BIGINT) AS bytes_received,
 count(*) FILTER (WHERE event_type IN ('chunk_retry', 'chunk_retried')) AS retries, count(*) FILTER (WHERE event_type IN ('chunk_timeout', 'transfer_timeout')) AS timeouts,
-max(duration_ms) AS duration_ms, arg_max(reason_code, line_no) FILTER (WHERE reason_code IS NOT NULL) AS reason_code
+max(duration_ms) AS duration_ms, arg_max(reason_code, line_no) FILTER (WHERE reason_code <> '') AS reason_code
 FROM v_trace GROUP BY transfer_id""")
 def trace_summary(t):
     return traces.summarize(t("v_trace"), "transfer_id")
@@ -288,18 +378,31 @@ def chunk_ack_nearest_rank(t):
     return traces.ack_latency(t("v_trace"), "path_name")
 
 
-@query()
+@query("""WITH RECURSIVE steps AS (SELECT path_name, event_type, duration_ms, row_number() OVER (PARTITION BY path_name ORDER BY line_no) AS k FROM v_trace
+  WHERE path_name IS NOT NULL AND event_type IN ('chunk_ack', 'chunk_timeout', 'chunk_retry')),
+folded AS (
+  SELECT path_name, CAST(0 AS BIGINT) AS k, 'healthy' AS health, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS timeouts, CAST(NULL AS DOUBLE) AS ewma FROM (SELECT DISTINCT path_name FROM steps)
+  UNION ALL
+  SELECT f.path_name, s.k,
+    CASE WHEN health = 'dead' THEN 'dead' WHEN event_type = 'chunk_ack' THEN 'healthy' WHEN failures + 1 >= 3 THEN 'dead'
+         WHEN event_type = 'chunk_timeout' OR failures + 1 >= 2 THEN 'degraded' ELSE health END,
+    CASE WHEN event_type <> 'chunk_ack' THEN failures + 1 WHEN health = 'dead' THEN failures ELSE 0 END,
+    timeouts + CASE WHEN event_type = 'chunk_timeout' THEN 1 ELSE 0 END,
+    CASE WHEN event_type <> 'chunk_ack' OR duration_ms IS NULL THEN ewma WHEN ewma IS NULL THEN CAST(duration_ms AS DOUBLE) ELSE 0.25::DOUBLE * duration_ms + 0.75::DOUBLE * ewma END
+  FROM folded f JOIN steps s ON s.path_name = f.path_name AND s.k = f.k + 1)
+SELECT path_name, arg_max(health, k) AS health, arg_max(failures, k) AS failures, arg_max(timeouts, k) AS timeouts,
+round(arg_max(ewma, k) FILTER (WHERE ewma IS NOT NULL), 6) AS ewma_ms FROM folded GROUP BY path_name""")
 def path_health(t):
-    return traces.path_health(t("v_trace"))
+    return traces.path_health(t("v_trace")).withColumn("ewma_ms", F.round("ewma_ms", 6))
 
 
 # -- serving ------------------------------------------------------------------------------------------------
 
 
 def summary_sql(by: str) -> str:
-    ok = "FILTER (WHERE status BETWEEN 200 AND 299)"
-    return f"""SELECT {by}, count(*) AS request_count, count(*) {ok} AS success_count, count(*) FILTER (WHERE status >= 300) AS error_count,
-round(count(*) FILTER (WHERE status >= 300) / count(*), 6) AS error_rate, round(quantile_cont(latency_ms, 0.5) {ok}, 6) AS p50_latency_ms,
+    ok = "FILTER (WHERE status BETWEEN 200 AND 299 AND error IS NULL)"
+    return f"""SELECT {by}, count(*) AS request_count, count(*) {ok} AS success_count, count(*) - count(*) {ok} AS error_count,
+round((count(*) - count(*) {ok}) / count(*), 6) AS error_rate, round(quantile_cont(latency_ms, 0.5) {ok}, 6) AS p50_latency_ms,
 round(quantile_cont(latency_ms, 0.95) {ok}, 6) AS p95_latency_ms, round(avg(latency_ms) {ok}, 6) AS mean_latency_ms,
 round(quantile_cont(ttft_ms, 0.5) {ok}, 6) AS p50_ttft_ms, CAST(coalesce(sum(output_token_count) {ok}, 0) AS BIGINT) AS output_tokens
 FROM v_requests GROUP BY {by}"""
@@ -322,25 +425,42 @@ def repeated_prefix_groups(t):
     return serving.repeated_prefixes(t("v_requests"))
 
 
-@query("""SELECT prefix_id, request_id, place FROM (SELECT *, row_number() OVER (PARTITION BY prefix_id ORDER BY ord) AS place FROM v_requests) WHERE place <= 3""")
+@query("""SELECT prefix_id, request_id, place FROM (SELECT *, row_number() OVER (PARTITION BY prefix_id ORDER BY ord) AS place FROM v_requests WHERE phase = 'measured') WHERE place <= 3""")
 def first_n_per_prefix(t):
     return serving.first_per_prefix(t("v_requests"), 3).select("prefix_id", "request_id", "place")
 
 
-@query("""SELECT conv_id, turn, turn > min(turn) OVER (PARTITION BY conv_id) AS expected_cache_reuse FROM conversations""")
+@query("""SELECT conv_id, turn, rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) > 1 AS expected_cache_reuse FROM conversations""")
 def expected_reuse_flags(t):
-    return serving.expected_reuse(t("conversations").select("conv_id", "turn"), "conv_id", "turn")
+    return serving.expected_reuse(t("conversations"), "conv_id", "turn", "role", "text").select("conv_id", "turn", "expected_cache_reuse")
+
+
+RUNS = "s AS (" + summary_sql("mode") + """),
+results AS (SELECT *, CASE mode WHEN 'mode_c' THEN 1 WHEN 'mode_a' THEN 2 ELSE 3 END AS run_order, CASE WHEN mode = 'mode_c' THEN 'skipped' ELSE 'completed' END AS status,
+  CASE WHEN mode = 'mode_c' THEN 'server not available' END AS skip_reason FROM s)"""
+
+
+def results_of(t):
+    """Summaries as results of a run in which one mode was skipped."""
+    order = F.when(F.col("mode") == "mode_c", 1).when(F.col("mode") == "mode_a", 2).otherwise(3)
+    skipped = F.col("mode") == "mode_c"
+    return serving.summary(t("v_requests"), "mode").select("*", order.alias("run_order"), F.when(skipped, "skipped").otherwise("completed").alias("status"), F.when(skipped, "server not available").alias("skip_reason"))
 
 
-@query("WITH s AS (" + summary_sql("mode") + """), base AS (SELECT * FROM s WHERE success_count > 0 ORDER BY mode LIMIT 1)
-SELECT s.mode, base.mode AS baseline, round(s.p50_latency_ms - base.p50_latency_ms, 6) AS p50_delta_ms, round(s.p95_latency_ms - base.p95_latency_ms, 6) AS p95_delta_ms,
-round((s.p50_latency_ms - base.p50_latency_ms) / nullif(base.p50_latency_ms, 0) * 100, 6) AS p50_delta_pct, round(s.error_rate - base.error_rate, 6) AS error_rate_delta
-FROM s, base""")
+@query("WITH " + RUNS + """, base AS (SELECT * FROM results WHERE status = 'completed' ORDER BY run_order LIMIT 1)
+SELECT r.run_order, b.mode AS baseline_mode, r.mode AS candidate_mode, CASE WHEN r.status = 'completed' THEN 'compared' ELSE 'skipped' END AS status,
+CASE WHEN r.status = 'completed' THEN round(r.p50_latency_ms - b.p50_latency_ms, 6) END AS latency_delta_ms,
+CASE WHEN r.status = 'completed' THEN round((r.p50_latency_ms - b.p50_latency_ms) / nullif(b.p50_latency_ms, 0) * 100, 6) END AS latency_delta_pct,
+CASE WHEN r.status = 'completed' THEN round(r.p50_ttft_ms - b.p50_ttft_ms, 6) END AS ttft_delta_ms,
+CASE WHEN r.status = 'completed' THEN round((r.p50_ttft_ms - b.p50_ttft_ms) / nullif(b.p50_ttft_ms, 0) * 100, 6) END AS ttft_delta_pct,
+CASE WHEN r.status = 'completed' THEN round(r.error_rate - b.error_rate, 6) END AS error_rate_delta,
+CASE WHEN r.status <> 'completed' THEN coalesce(r.skip_reason, 'not completed') WHEN r.p50_ttft_ms - b.p50_ttft_ms IS NULL THEN 'TTFT unavailable for one or both modes' ELSE '' END AS notes,
+CASE WHEN r.status <> 'completed' THEN coalesce(r.skip_reason, 'not completed') END AS skipped_reason FROM results r, base b""")
 def mode_comparison(t):
-    return serving.compare_modes(serving.summary(t("v_requests"), "mode"))
+    return serving.compare_modes(results_of(t))
 
 
-NORMAL = r"regexp_replace(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')"
+NORMAL = "regexp_replace(regexp_replace({0}, '" + serving.WHITE.replace("{", "{{").replace("}", "}}") + r"+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 @query(f"""SELECT request_id, CASE WHEN NOT coalesce(r.here, false) THEN 'missing_reference' WHEN NOT coalesce(c.here, false) THEN 'missing_candidate'
@@ -351,12 +471,21 @@ def response_compare(t):
     return serving.compare_responses(t("v_responses_ref"), t("v_responses_cand"))
 
 
-@query("WITH s AS (" + summary_sql("mode") + """)
-SELECT mode, concat_ws(';', CASE WHEN request_count < 100 THEN 'too_few_requests' END, CASE WHEN success_count = 0 THEN 'no_success' END,
-CASE WHEN error_rate > 0.2 THEN 'error_rate_too_high' END) AS failures,
-CASE WHEN request_count < 100 OR success_count = 0 OR error_rate > 0.2 THEN 'failed' ELSE 'pass' END AS status FROM s""")
+@query("WITH " + RUNS + """, counted AS (SELECT mode, count(*) FILTER (WHERE phase = 'measured') AS measured FROM v_requests GROUP BY mode),
+r AS (SELECT r.*, c.measured, concat('rep1:', r.mode) AS label FROM results r JOIN counted c ON c.mode = r.mode),
+failures AS (
+  SELECT -1 AS run_order, 1 AS place, 'expected 4 mode results, found ' || count(*) AS failure FROM r HAVING count(*) <> 4
+  UNION ALL SELECT -1, 2, 'correctness checking failed'
+  UNION ALL SELECT run_order, 0, label || ' did not complete: ' || coalesce(skip_reason, 'None') FROM r WHERE status <> 'completed'
+  UNION ALL SELECT run_order, 1, label || ' has zero measured samples' FROM r WHERE status = 'completed' AND measured <= 0
+  UNION ALL SELECT run_order, 3, label || ' did not report local cache store and retrieve activity' FROM r WHERE status = 'completed' AND mode = 'mode_a' AND NOT request_count > 1000000000
+  UNION ALL SELECT run_order, 6, label || ' store audit was not clean' FROM r WHERE status = 'completed' AND mode = 'mode_b')
+SELECT CASE WHEN count(*) = 0 THEN 'pass' ELSE 'failed' END AS status, count(*) AS failure_count, string_agg(failure, chr(10) ORDER BY run_order, place) AS failures FROM failures""")
 def completion_gate(t):
-    return serving.gate(serving.summary(t("v_requests"), "mode"), 0.2, 100)
+    measured = t("v_requests").groupBy("mode").agg(F.count_if(F.col("phase") == "measured").alias("measured_requests"))
+    flags = {"missing_artifacts": F.lit(False), "local_activity": F.col("request_count") > 1_000_000_000, "store_put_get": F.lit(True), "store_activity": F.lit(True), "fsck_clean": F.lit(False)}
+    results = results_of(t).join(measured, "mode").select("*", F.lit(1).alias("repetition"), F.lit(None).cast("string").alias("error"), *(v.alias(k) for k, v in flags.items()))
+    return serving.gate(results, 4, "fail", False, "mode_a", "mode_b")
 
 
 @query("""WITH c AS (SELECT mode, prefix_id, phase, count(*) AS n FROM v_requests GROUP BY ALL)
@@ -405,11 +534,10 @@ def object_identity_blake3(t):
     return t("documents").select("doc_id", blake3_hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("payload_hash"))
 
 
-@query("""SELECT source AS prefix_id, count(*) AS requests, count(DISTINCT lang) AS groups, round(avg(n_chars), 6) AS mean_chars,
-round((count(*) - count(DISTINCT text)) / count(*), 6) AS repeat_ratio FROM documents GROUP BY source""")
+@query("""WITH r AS (SELECT mode, prefix_id, ord > min(ord) OVER (PARTITION BY mode, prefix_id) AS reuse, output_token_count AS chars FROM v_requests),
+per AS (SELECT mode, prefix_id, count(*) AS n, count(*) FILTER (WHERE reuse) AS reuse, sum(chars) AS chars FROM r GROUP BY ALL)
+SELECT mode, CAST(sum(n) AS BIGINT) AS request_count, count(*) AS actual_repeat_groups, CAST(sum(reuse) AS BIGINT) AS expected_cache_reuse_count, CAST(sum(n - 1) AS BIGINT) AS repeated_prefix_request_count,
+round(sum(n - 1) / sum(n), 6) AS repeated_prefix_ratio, round(coalesce(sum(chars), 0) / sum(n), 6) AS average_prompt_chars FROM per GROUP BY mode""")
 def workload_summary(t):
-    # Contents are made distinct by source before they are counted, so a large source is spread by its texts.
-    per = t("documents").groupBy("source", "lang", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-    texts = per.groupBy("source", "h").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.collect_set("lang").alias("langs"))
-    one = texts.groupBy("source").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("forms"), F.size(F.array_distinct(F.flatten(F.collect_set("langs")))).cast("long").alias("groups"))
-    return one.select(F.col("source").alias("prefix_id"), F.col("n").alias("requests"), "groups", F.round(F.col("chars") / F.col("n"), 6).alias("mean_chars"), F.round((F.col("n") - F.col("forms")) / F.col("n"), 6).alias("repeat_ratio"))
+    requests = t("v_requests").select(F.concat_ws("|", "mode", "prefix_id").alias("group"), "mode", "prefix_id", "ord", F.col("output_token_count").alias("prompt_chars"))
+    return serving.workload_summary(serving.expected_reuse(requests, "group", "ord"), "mode")

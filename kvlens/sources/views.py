@@ -20,10 +20,12 @@ SELECT concat('obj-', lpad(CAST(doc_id AS STRING), 10, '0')) AS object_id,
        doc_id % 17 AS access_count,
        CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1700000000000 + (doc_id * 7919 % 100000) * 1000 END AS last_accessed_unix_ms,
        CASE WHEN doc_id % 4 = 0 THEN 1700000000000 + (doc_id * 104729 % 100000) * 1000 ELSE NULL END AS ttl_expires_at_unix_ms,
-       1690000000000 + doc_id * 1000 AS created_at_unix_ms
+       1690000000000 + doc_id * 1000 AS created_at_unix_ms, concat('d-', md5(text)) AS descriptor_hash, md5(text) AS payload_hash
 FROM {documents}""",
     "v_locations": """
-SELECT concat('obj-', lpad(CAST(doc_id AS STRING), 10, '0')) AS object_id, 'disk' AS tier, n_chars + 512 AS bytes_on_disk
+SELECT concat('obj-', lpad(CAST(doc_id AS STRING), 10, '0')) AS object_id, 'disk' AS tier, n_chars + 512 AS bytes_on_disk,
+       concat('objects/', CAST(doc_id % 97 + CASE WHEN doc_id % 37 = 5 THEN 1 ELSE 0 END AS STRING), '.meta') AS meta_path,
+       concat('objects/', CAST(doc_id % 97 AS STRING), '.payload') AS payload_path
 FROM {documents} WHERE doc_id % 10 <> 4""",
     "v_compat": """
 SELECT concat('obj-', lpad(CAST(doc_id AS STRING), 10, '0')) AS object_id,
@@ -39,13 +41,25 @@ SELECT concat('obj-', lpad(CAST(doc_id AS STRING), 10, '0')) AS object_id,
 FROM {documents}""",
     "v_files": """
 SELECT concat('obj-', lpad(CAST(doc_id + CASE WHEN doc_id % 50 = 7 THEN 1000000 ELSE 0 END AS STRING), 10, '0')) AS object_id,
-       n_chars AS payload_bytes, md5(text) AS payload_md5
+       n_chars + CASE WHEN doc_id % 31 = 1 THEN 1 ELSE 0 END AS payload_bytes, doc_id % 43 <> 8 AS has_meta, doc_id % 47 <> 9 AS has_payload,
+       doc_id % 29 <> 10 AS metadata_ok, CASE doc_id % 59 WHEN 3 THEN 'payload_hash_mismatch' WHEN 4 THEN 'descriptor_hash_mismatch'
+       WHEN 5 THEN 'object_id_mismatch' WHEN 6 THEN 'byte_length_mismatch' WHEN 7 THEN 'wrong_dtype' ELSE 'accepted' END AS reason_code,
+       concat('obj-', lpad(CAST(doc_id + CASE WHEN doc_id % 50 = 7 THEN 1000000 WHEN doc_id % 23 = 2 THEN 1 ELSE 0 END AS STRING), 10, '0')) AS found_id,
+       concat('d-', md5(text), CASE WHEN doc_id % 19 = 1 THEN 'x' ELSE '' END) AS found_descriptor_hash,
+       concat(md5(text), CASE WHEN doc_id % 17 = 1 THEN 'x' ELSE '' END) AS found_payload_hash,
+       concat('objects/', CAST(doc_id % 97 AS STRING), '.meta') AS meta_path, concat('objects/', CAST(doc_id % 97 AS STRING), '.payload') AS payload_path,
+       doc_id % 100 <> 7 AS at_own_path
 FROM {documents} WHERE doc_id % 10 <> 4 AND doc_id % 41 <> 6""",
     "v_manifests": """
 SELECT concat('man-', CAST(o_orderkey AS STRING)) AS manifest_id, 'prefix_manifest' AS manifest_type,
        'model-en' AS model_hash, concat('prefix-src', CAST(o_custkey % 4 AS STRING)) AS prefix_hash,
-       CAST(0 AS BIGINT) AS token_range_start, CAST(1024 AS BIGINT) AS token_range_end, o_orderkey % 3 AS pin_count
+       CAST(0 AS BIGINT) AS token_range_start, CAST(1024 AS BIGINT) AS token_range_end, o_orderkey % 3 AS pin_count,
+       CASE o_orderkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'incomplete' ELSE 'complete' END AS completeness_state
 FROM {orders}""",
+    "v_names": """
+SELECT concat(p_brand, '-', CAST(p_partkey AS STRING)) AS object_id, p_partkey % 5 <> 0 AS valid FROM {part}""",
+    "v_staging": """
+SELECT concat('put-', CAST(s_suppkey AS STRING)) AS object_id FROM {supplier}""",
     "v_members": """
 SELECT concat('man-', CAST(l_orderkey AS STRING)) AS manifest_id, concat('obj-', lpad(CAST(l_partkey AS STRING), 10, '0')) AS object_id,
        CASE WHEN MIN(l_suppkey) % 9 = 0 THEN NULL ELSE MIN(l_suppkey) % 4 END AS layer_id,
@@ -63,7 +77,8 @@ FROM {events}""",
 SELECT concat('req-', CAST(event_id AS STRING)) AS request_id, event_id AS ord, concat('prefix-', CAST(user_id AS STRING)) AS prefix_id,
        CASE user_id % 3 WHEN 0 THEN 'mode_a' WHEN 1 THEN 'mode_b' ELSE 'mode_c' END AS mode,
        CASE WHEN event_id % 10 = 0 THEN 'engine_warmup' WHEN event_id % 10 = 1 THEN 'cache_population' ELSE 'measured' END AS phase,
-       CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+       CASE WHEN event_id % 97 = 5 THEN NULL WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+       CASE WHEN event_id % 89 = 3 THEN 'timeout' ELSE NULL END AS error,
        value AS latency_ms, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 4 END AS ttft_ms, event_id % 32 AS output_token_count
 FROM {events}""",
     "v_trace": """
@@ -72,7 +87,7 @@ SELECT event_id AS line_no, concat('tx-', CAST(user_id AS STRING)) AS transfer_i
             WHEN 3 THEN 'chunk_timeout' WHEN 4 THEN 'get_chunk_sent' ELSE 'chunk_ack' END AS event_type,
        CASE WHEN event_id % 6 IN (0, 1, 4) THEN CAST(FLOOR(value * 1024) AS BIGINT) ELSE NULL END AS bytes,
        CASE WHEN event_id % 6 = 5 THEN CAST(FLOOR(value) AS BIGINT) ELSE NULL END AS duration_ms,
-       CASE WHEN event_type = 'error' THEN 'chunk_ack_timeout' ELSE NULL END AS reason_code
+       CASE WHEN event_type = 'error' THEN 'chunk_ack_timeout' WHEN event_id % 7 = 2 THEN '' ELSE NULL END AS reason_code
 FROM {events}""",
     "v_responses_ref": """
 SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS request_id, text AS output_text
@@ -82,7 +97,7 @@ SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS request_id,
        CASE conv_id % 5 WHEN 0 THEN concat('  ', text, ' ') WHEN 1 THEN replace(text, 'a', 'b') ELSE text END AS output_text
 FROM {conversations} WHERE conv_id % 13 <> 4""",
 }
-TABLES = ("documents", "orders", "lineitem", "events", "conversations")
+TABLES = ("documents", "orders", "lineitem", "events", "conversations", "part", "supplier")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

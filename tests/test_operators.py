@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlens.functions.identity import blake3_hex, blake3_many, canonical_json, strict_json
-from kvlens.operators import chunks, eviction, lifecycle, serving, traces
+from kvlens.operators import audit, chunks, eviction, lifecycle, manifests, serving, traces
 from kvlens.sources import files
 from kvlens.streaming import logs
 
@@ -142,3 +142,80 @@ def test_files_and_artifacts(spark, tmp_path):
     listed = spark.createDataFrame(files.artifact_manifest(spark, str(root)).collect())
     (root / "odd.txt").write_text("!!")
     assert [tuple(r) for r in files.verify_artifacts(listed, files.artifact_manifest(spark, str(root))).collect()] == [("odd.txt", "size")]
+
+
+def test_skip_counts_leave_pinned_objects_out(spark):
+    objects = spark.createDataFrame([("a", "pinned", 1), ("b", "staging", 0), ("c", "verified", 0), ("d", "quarantined", 2), ("e", "verified", 0)], "object_id string, state string, pin_count long")
+    locations = spark.createDataFrame([("a", "disk"), ("b", "disk"), ("c", "disk"), ("d", "disk")], "object_id string, tier string")
+    assert tuple(eviction.skip_counts(objects, locations).first()) == (2, 2)
+
+
+def test_manifest_states(spark):
+    manifests_ = spark.createDataFrame([("m1", "x", "p", 0, 100), ("m2", "x", "p", 0, 100), ("m3", None, "p", 0, 100)], "manifest_id string, model_hash string, prefix_hash string, token_range_start long, token_range_end long")
+    compat = spark.createDataFrame([("a", "x", "p", 0, 50), ("b", "x", "p", 50, 200), ("c", None, "p", 0, 50), ("d", "x", "p", 60, 50), ("e", "x", "p", 0, 10)], "object_id string, model_hash string, prefix_hash string, token_range_start long, token_range_end long")
+    objects = spark.createDataFrame([(x, "committed" if x == "e" else "verified", 0) for x in "abcde"], "object_id string, state string, pin_count long")
+    locations = spark.createDataFrame([(x, "disk") for x in "abcde"], "object_id string, tier string")
+    members = spark.createDataFrame([("m1", "a", 0, 0, 1), ("m1", "gone", 0, 1, 1), ("m2", "b", 0, 0, 1), ("m2", "d", 1, 0, 0), ("m3", "c", 0, 0, 1)], "manifest_id string, object_id string, layer_id long, kv_block_id long, required int")
+    missing = manifests.missing_members(members, objects, locations, manifests_, compat)
+    assert {(r.manifest_id, r.object_id, r.reason) for r in missing.collect()} == {("m1", "gone", "object_absent"), ("m2", "b", "compatibility_mismatch")}
+    got = {r.manifest_id: tuple(r)[1:] for r in manifests.completeness(manifests_, members, missing).collect()}
+    assert got == {"m1": (2, 1, 1, "incomplete"), "m2": (1, 0, 1, "corrupt"), "m3": (1, 1, 0, "complete")}
+    wrong = {(r.object_id, r.mismatch) for r in manifests.identity_violations(manifests_, members, compat).collect()}
+    assert wrong == {("b", "token range mismatch"), ("d", "token range mismatch")}
+    open_cells = {(r.layer_id, r.kv_block_id) for r in manifests.uncovered(manifests_.where("manifest_id = 'm2'"), members, 2, 2).collect()}
+    assert open_cells == {(0, 1), (1, 0), (1, 1)}  # a member that isn't required fills nothing
+    expected = spark.createDataFrame([("m1", 0, 0, None, None), ("m1", 5, 5, None, None), ("m1", 0, 1, 7, None)], "manifest_id string, layer_id long, kv_block_id long, token_range_start long, token_range_end long")
+    ranged = members.withColumn("token_range_start", F.lit(0).cast("long")).withColumn("token_range_end", F.lit(9).cast("long"))
+    assert {(r.layer_id, r.kv_block_id) for r in manifests.unexpected(expected, ranged).collect()} == {(5, 5), (0, 1)}
+    asked = spark.createDataFrame([("m1", "e", 1), ("m1", "a", 1), ("m1", "b", 1), ("none", "a", 1)], "manifest_id string, object_id string, required int")
+    added = manifests.add_members(asked, manifests_.withColumn("pin_count", F.lit(2).cast("long")), objects, locations, compat)
+    assert {(r.manifest_id, r.object_id, r.refused, r.pins) for r in added.collect()} == {("m1", "e", "member is not serveable", 0), ("m1", "a", None, 2), ("m1", "b", "token range mismatch", 0), ("none", "a", "manifest not found", 0)}
+
+
+def test_a_dead_path_stays_dead(spark):
+    events = ["chunk_timeout"] * 3 + ["chunk_ack", "chunk_ack"]
+    rows = [("p", i, e, 10 if e == "chunk_ack" else None) for i, e in enumerate(events)] + [("q", 1, "chunk_retry", None), ("q", 2, "chunk_retry", None), ("q", 3, "chunk_ack", 8)]
+    df = spark.createDataFrame(rows, "path_name string, line_no long, event_type string, duration_ms long")
+    got = {r.path_name: (r.health, r.failures, r.timeouts, r.ewma_ms) for r in traces.path_health(df).collect()}
+    assert got == {"p": ("dead", 3, 3, 10.0), "q": ("healthy", 0, 0, 8.0)}
+
+
+def test_reassembly_checks_indexes_and_digests(spark):
+    import hashlib
+
+    data = b"0123456789"
+    got = [(t, i, data[4 * i : 4 * i + 4]) for t in ("ok", "bad") for i in range(3)] + [("far", 0, b"0123"), ("far", 5, b"4567"), ("two", 0, b"x"), ("two", 0, b"y"), ("short", 0, b"0123")]
+    received = spark.createDataFrame(got, "transfer string, chunk_index long, data binary")
+    want = [(t, n, len(data) if n == 3 else 4, hashlib.sha256(data if t != "bad" else b"").hexdigest()) for t, n in (("ok", 3), ("bad", 3), ("far", 2), ("two", 1), ("short", 3))]
+    expected = spark.createDataFrame(want, "transfer string, total_chunks long, payload_len long, payload_hash string")
+    out = {r.transfer: (r.outcome, r.payload and bytes(r.payload)) for r in chunks.reassemble(received, expected).collect()}
+    assert out == {"ok": ("ok", data), "bad": ("hash_mismatch", None), "far": ("out_of_range", None), "two": ("conflict", None), "short": ("incomplete", None)}
+    payloads = spark.createDataFrame([("ok", data)], "transfer string, payload binary")
+    layouts = chunks.layout(payloads, "transfer", "payload", 4)
+    assert {(r.chunk_index, r.outcome) for r in chunks.verify(received.where("transfer = 'ok'").unionByName(spark.createDataFrame([("ok", 7, b"z"), ("ok", 1, b"45"), ("ok", 1, b"4566")], received.schema)), layouts).collect()} == {(0, "ok"), (1, "ok"), (2, "ok"), (7, "unknown_chunk"), (1, "length_mismatch"), (1, "hash_mismatch")}
+    assert [tuple(r) for r in chunks.manifest(payloads, "transfer", "payload", 4).collect()] == [("ok", 3, 10, hashlib.sha256(data).hexdigest())]
+
+
+def test_requests_without_status_are_errors(spark):
+    df = spark.createDataFrame([("a", 200, None, 1.0), ("a", None, None, 2.0), ("a", 200, "timeout", 3.0)], "mode string, status int, error string, latency_ms double").selectExpr("*", "CAST(NULL AS double) AS ttft_ms", "CAST(NULL AS long) AS output_token_count")
+    r = serving.summary(df, "mode").first()
+    assert (r.request_count, r.success_count, r.error_count, r.p50_latency_ms) == (3, 1, 2, 1.0)
+
+
+def test_reuse_with_ties_and_without_group(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (None, 5, "x"), (None, 6, "y"), (2, None, "z")], "g long, turn long, text string")
+    got = {r.text: r.expected_cache_reuse for r in serving.expected_reuse(df, "g", "turn", "text").collect()}
+    assert got == {"a": False, "b": True, "c": True, "x": False, "y": True, "z": False}
+
+
+def test_audit_modes(spark):
+    found = spark.createDataFrame([("object_location_missing", "error", "a", None), ("payload_hash_mismatch", "critical", "b", None), ("byte_length_mismatch", "error", "c", None), ("manifest_member_object_not_serveable", "error", "b", "m"), ("quarantined_object_referenced_by_complete_manifest", "critical", "b", "m")], "finding_type string, severity string, object_id string, manifest_id string")
+    state = lambda mode: {(r.object_id, r.manifest_id, r.new_state) for r in audit.repairs(found, mode).collect()}
+    assert state("check") == set() and state("repair") == {("a", None, "missing"), (None, "m", "incomplete")}
+    assert state("quarantine") == {("b", None, "quarantined"), (None, "m", "corrupt")}
+    assert (audit.verdict(found), audit.verdict(found.limit(0)), audit.verdict(found, "repair", 1)) == ("dirty", "clean", "repaired")
+
+
+def test_normalized_takes_unicode_white_space(spark):
+    text = "  a \x1cb　\n c "
+    assert spark.createDataFrame([(text,)], "t string").select(serving.normalized(F.col("t"))).first()[0] == "a b c" == " ".join(text.split())
