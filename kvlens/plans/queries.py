@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlens.functions.descriptors import descriptor_hash, manifest_id, object_id
 from kvlens.functions.identity import blake3_hex
-from kvlens.operators import audit, catalog, chunks, eviction, lifecycle, manifests, serving, traces
+from kvlens.operators import audit, catalog, chunks, eviction, lifecycle, manifests, serving, traces, validation
+from kvlens.sources.descriptors import descriptors
 from kvlens.sources.views import table, view, with_views
 
 NOW = 1_700_050_000_000
@@ -541,3 +543,28 @@ round(sum(n - 1) / sum(n), 6) AS repeated_prefix_ratio, round(coalesce(sum(chars
 def workload_summary(t):
     requests = t("v_requests").select(F.concat_ws("|", "mode", "prefix_id").alias("group"), "mode", "prefix_id", "ord", F.col("output_token_count").alias("prompt_chars"))
     return serving.workload_summary(serving.expected_reuse(requests, "group", "ord"), "mode")
+
+
+# -- descriptors --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 16 BETWEEN 1 AND 13 THEN 'rejected' ELSE 'accepted' END AS status,
+CASE doc_id % 16 WHEN 1 THEN 'unknown_schema_version' WHEN 2 THEN 'unknown_object_type' WHEN 3 THEN 'missing_required_field' WHEN 4 THEN 'extra_field_rejected'
+  WHEN 5 THEN 'invalid_field_type' WHEN 6 THEN 'schema_validation_failed' WHEN 7 THEN 'unsupported_compression' WHEN 8 THEN 'byte_length_mismatch' WHEN 9 THEN 'payload_hash_mismatch'
+  WHEN 10 THEN 'descriptor_hash_mismatch' WHEN 11 THEN 'object_id_mismatch' WHEN 12 THEN 'parse_error'
+  WHEN 13 THEN CASE WHEN doc_id % 3 = 0 THEN 'opaque_wrong_engine_name' ELSE 'wrong_engine_name' END ELSE 'accepted' END AS reason_code FROM documents""")
+def object_validation(t):
+    return validation.validate(descriptors(t("documents"))).select("doc_id", "status", "reason_code")
+
+
+@query()
+def object_identity(t):
+    made = descriptors(t("documents")).withColumn("payload_hash", blake3_hex(F.col("payload")))
+    named = made.withColumn("descriptor_hash", descriptor_hash(F.col("metadata"), F.col("payload_hash")))
+    return named.select("doc_id", "payload_hash", "descriptor_hash", object_id(F.col("descriptor_hash"), F.col("payload_hash")).alias("object_id"))
+
+
+@query()
+def manifest_identity(t):
+    none = F.lit(None).cast("string")
+    return t("v_manifests").select("manifest_id", manifest_id(F.col("manifest_type"), F.col("model_hash"), none, none, F.col("prefix_hash"), F.col("token_range_start"), F.col("token_range_end")).alias("derived_id"))
