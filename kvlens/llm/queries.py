@@ -17,4 +17,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 
-ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op4_chat": chat.OP4_SQL}
+ORACLE_SQL = {"op1_warc": warc.OP1_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op4_chat": chat.OP4_SQL}

@@ -121,6 +121,42 @@ def test_op3(spark, docs):
         assert (got[d].n_shingles, got[d].component_id) == (len(sets[d]), find(d))
 
 
+@pytest.mark.parametrize("hot", [2, 8])
+def test_op3_large_buckets(spark, hot, monkeypatch):
+    """A large group of near copies at the rule's edge and many texts that share most of a passage, against brute force."""
+    import random
+
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base, passage, texts = [word() for _ in range(120)], [word() for _ in range(90)], []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(r.randrange(1, 4)):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(copy)
+    texts += [passage + [word() for _ in range(r.randrange(8, 60))] for _ in range(120)]
+    texts += [[word() for _ in range(r.randrange(1, 9))] for _ in range(40)] + [["a", "b", "c", "d", x] for x in "efefgh"]
+    rule = jaccard.Rule(3, 80, 100)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 3]) for i in range(max(1, len(t) - 2))} for t in texts]
+    least = list(range(len(texts)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                least[y] = x
+    got = rows(jaccard.join_documents(df, Scratch(spark, "t"), rule))
+    assert [got[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
 def test_one_of_each(spark):
     base = " ".join(f"w{i}" for i in range(100))
     df = spark.createDataFrame([(5, base, "x"), (3, base + " end", "x"), (None, base, "x"), (9, "other text of its own here", "x"), (9, "other text of its own here", "a"), (7, None, "x"), (8, None, "x")], "doc_id long, text string, class string")
