@@ -11,6 +11,9 @@ one token; equal texts give equal counts; rows are kept as they come, repeated o
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+CONTRACTIONS = ("'re", "'ve", "'ll")
+#: The run of white space from a place on.
+WHITE = regex.compile(r"\s+").match
 #: A space after white space or at the text's start.
 WIDE_SPACE = regex.compile(r"(?:\s|^) ").search
 
@@ -66,7 +72,7 @@ class PrefixCounter:
         #: Every beginning of a token: its id, or -1 where it only begins longer ones.
         self.begins = {t[:i]: -1 for t in self.ids for i in range(1, len(t))} | self.ids
         self.token = {i: t for t, i in self.ids.items()}
-        self.split = regex.compile(PATTERN).findall
+        self.split, self.lazy = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.follows: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
@@ -115,7 +121,7 @@ class PrefixCounter:
             yield from ((p, False) for p in self.split(text[at : m.start()]))
             yield m.group(), True
             at = m.end()
-        yield from ((p, False) for p in self.split(text[at:] if at else text))
+        yield from ((p.group(), False) for p in self.lazy(text[at:] if at else text))
 
     def total(self, text: str) -> int:
         """Tokens of a whole text.
@@ -136,38 +142,93 @@ class PrefixCounter:
                 n += 1
                 continue
             count = totals.get(piece)
-            if count is None:
-                if len(totals) > CACHE:
-                    totals.clear()
-                count = self.prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
-                if len(piece) < 64:
-                    totals[piece] = count
-            n += count
+            n += self.count(piece) if count is None else count
         return n
 
-    def all_prefixes(self, text: str) -> list[int]:
-        """counts[i]: tokens of text[:i] as if it were encoded alone, for every code point i.
-
-        A cut inside a piece splits anew only from that piece, or from the white space before it.
+    def count(self, piece: str) -> int:
+        """Tokens of one pre-token; those of short ones are remembered."""
+        totals = self.totals
+        count = totals.get(piece)
+        if count is None:
+            if len(totals) > CACHE:
+                totals.clear()
+            count = self.prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
+            if len(piece) < 64:
+                totals[piece] = count
+        return count
+
+    def by_character(self, piece: str) -> list[int]:
+        """Tokens of piece[:1], piece[:2], ... as pre-tokens: one table for all of them."""
+        counts = self.prefixes(piece.encode("utf-8", "surrogatepass"))
+        if piece.isascii():
+            return counts[1:]
+        ends, out = 0, []
+        for c in piece:
+            ends += len(c.encode("utf-8", "surrogatepass"))
+            out.append(counts[ends])
+        return out
+
+    def walk(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """For each piece in order: a bound that no later count is under, and the counts of text[:i] for each end i in it.
+
+        A cut inside a piece leaves a shorter piece of its kind, whose count is in the piece's table.  But a cut
+        behind white space joins the whole run of it to one piece, which has a table of its own; a contraction
+        or a special token that is cut is split anew, and these are short.
         """
-        counts, done, start, run, run_done = [0], 0, 0, 0, 0
+        done, start, run, run_done = 0, 0, 0, 0  # run: where the white space before begins, and the tokens up to there
+        spaces: list[int] = []
         for piece, special in self.pieces(text):
-            for i in range(1, len(piece)):
-                # A special token's beginning is plain text, which takes the space before it.
-                again = special or piece[:i].isspace()
-                tail = text[run : start + i] if again else piece[:i]
-                counts.append((run_done if again else done) + sum(self.prefixes(p.encode("utf-8", "surrogatepass"))[-1] for p in self.split(tail)))
-            whole = 1 if special else self.prefixes(piece.encode("utf-8", "surrogatepass"))[-1]
-            if not special and piece.isspace():
-                counts.append(run_done + sum(self.prefixes(p.encode())[-1] for p in self.split(text[run : start + len(piece)])))
-                done += whole
+            if not special and piece[0].isspace() and run == start:
+                end = WHITE(text, start).end()
+                spaces = self.by_character(text[start:end])
+            if special:
+                inner = [run_done + sum(self.prefixes(p.encode("utf-8", "surrogatepass"))[-1] for p in self.split(text[run : start + i])) for i in range(1, len(piece))]
+                counts, whole = [*inner, done + 1], 1
+            elif piece.isspace():
+                own = self.by_character(piece)
+                counts, whole = [run_done + spaces[start + i - run] for i in range(len(piece))], own[-1]
             else:
-                done += whole
-                counts.append(done)
-                run, run_done = start + len(piece), done
+                counts = [done + n for n in self.by_character(piece)]
+                whole = counts[-1] - done
+                if piece[0].isspace():
+                    counts[0] = run_done + spaces[start - run]
+                if piece in CONTRACTIONS:
+                    counts[:-1] = [done + sum(self.prefixes(p.encode())[-1] for p in self.split(piece[:i])) for i in range(1, len(piece))]
+            yield run_done, counts
+            done += whole
             start += len(piece)
+            if special or not piece.isspace():
+                run, run_done = start, done
+
+    def all_prefixes(self, text: str) -> list[int]:
+        """counts[i]: tokens of text[:i] as if it were encoded alone, for every code point i."""
+        counts = [0]
+        for _, part in self.walk(text):
+            counts += part
         return counts
 
+    def longest(self, text: str, budget: int) -> int:
+        """The most code points whose encoding has at most ``budget`` tokens.
+
+        Counts at the ends of words that single spaces part never fall, so the answer lies behind the last such
+        end within the budget; from there on counts are made by character until they can't come back to it.
+        """
+        start = done = 0
+        if not any(s in text for s in self.special) and not WIDE_SPACE(text):
+            first, *rest = text.split(" ", budget + 1)  # each word has a token at least
+            ends = list(accumulate(map(self.after_space.__getitem__, rest[:budget]), initial=self.split_total(first)))
+            if within := bisect_right(ends, budget):
+                start, done = len(first) + sum(map(len, rest[: within - 1])) + within - 1, ends[within - 1]
+        best = at = start
+        for least, part in self.walk(text[start:] if start else text):
+            if done + least > budget:
+                break
+            for i, count in enumerate(part, at + 1):
+                if done + count <= budget:
+                    best = i
+            at += len(part)
+        return best
+
 
 _counters: dict[str, PrefixCounter] = {}
 
@@ -185,14 +246,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
-    """id, n_bytes, n_tokens of each whole text."""
+def token_counts(df: DataFrame, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
+    """id, n_bytes, n_tokens of each whole text, over_limit, kept_chars (the most code points within the limit)."""
 
     def count(ids: list, texts: list) -> dict:
         own = counter(vocabulary(vocabulary_name))
-        return {id_col: ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [own.total(t) for t in texts]}
+        totals = [own.total(t) for t in texts]
+        kept = [len(t) if n <= limit else own.longest(t, limit) for t, n in zip(texts, totals, strict=True)]
+        return {id_col: ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": totals, "over_limit": [n > limit for n in totals], "kept_chars": kept}
 
-    return map_rows(df.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("text")), count, f"{id_col} long, n_bytes long, n_tokens long")
+    return map_rows(df.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias("text")), count, f"{id_col} long, n_bytes long, n_tokens long, over_limit boolean, kept_chars long")
 
 
 def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
@@ -217,4 +280,4 @@ def longest_within(budget: int) -> F.Column:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 1024)
+    return token_counts(documents(spark, sf_dir), limit=1024)

@@ -249,10 +249,30 @@ def test_op7(spark, docs):
         assert (got[d].n_tokens, got[d].over_limit, got[d].n_bytes) == (n, n > 1024, len(docs[d].encode()))
 
 
-def test_op7_prefixes():
+ODD_TEXTS = ["Hello  world, it's we're 1234 o'clock!\n\n  <|endoftext|> ok", "überschöne 日本語  x 'll", "", " ", "   ", " \t a", "x  \n", "a\u3000 b", "!'re we'", "<|endoftext|><|endoftext|>", "  <|endoftext|>  end  ", "they'll've'", "😀 é \u0301", "a" * 40, "12345 67"]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_op7_every_prefix(text):
+    own = tokens.counter(tokens.vocabulary("byte_bpe_50k.json"))
+    want = [0, *library_counts([text[:i] for i in range(1, len(text) + 1)])] if text else [0]
+    assert own.all_prefixes(text) == want
+    for budget in (0, 1, 2, 5, 1000):
+        assert own.longest(text, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+def test_op7_table_and_cut(spark, docs, odd):
+    """The stored table answers what the query says, in linear time also for a piece of 50,000 letters."""
+    for root, limit in ((DATA, 1024), (odd, 1024)):
+        df = spark.read.parquet(f"{root}/documents.parquet")
+        got = sorted((r.doc_id or -1, r.n_tokens, r.kept_chars) for r in tokens.token_counts(df, limit).collect())
+        table = tokens.prefix_counts(df).select("doc_id", tokens.tokens_at(1 << 30).alias("n"), tokens.longest_within(limit).cast("long").alias("kept"))
+        assert got == sorted((r.doc_id or -1, r.n, r.kept) for r in table.collect())
+    some = [t for t in docs.values() if t][:40]
     own = tokens.counter(tokens.vocabulary("byte_bpe_50k.json"))
-    for text in ("Hello  world, it's 1234 o'clock!\n\n  <|endoftext|> ok", "überschöne 日本語  x", ""):
-        assert own.all_prefixes(text) == [library_counts([text[:i]])[0] if i else 0 for i in range(len(text) + 1)]
+    for t in some:
+        cut = own.longest(t, 20)
+        assert library_counts([t[:cut]])[0] <= 20 and (cut == len(t) or library_counts([t[: cut + 1]])[0] > 20)
 
 
 def test_op8(spark, docs):
