@@ -51,7 +51,8 @@ def descriptors(docs: DataFrame, names: Names = Names()) -> DataFrame:
     whole = whole.withColumn("descriptor_hash", descriptor_hash(F.col("draft"), F.col("payload_hash"))).withColumn("found_id", object_id(F.col("descriptor_hash"), F.col("payload_hash"), names))
     fault = F.col("doc_id") % FAULTS
     other_id = F.concat(F.lit(names.id_prefix), F.sha2("found_id", 256))
-    text = meta(F.when(fault == 11, other_id).otherwise(F.col("found_id")), F.col("descriptor_hash"), F.col("payload_hash"))
+    whole = whole.withColumn("written", meta(F.when(fault == 11, other_id).otherwise(F.col("found_id")), F.col("descriptor_hash"), F.col("payload_hash")))
+    text = F.col("written")
     swap = lambda old, new: F.replace(text, F.lit(old), F.lit(new))
     made = (
         F.when(fault == 1, swap(names.object_schema, names.object_schema + "9")).when(fault == 2, swap('"object_type":"', '"object_type":"x_')).when(fault == 3, swap('"created_by":"job",', ""))
