@@ -171,13 +171,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, lm: np.ndarray, scratch:
         for text in texts:
             low = text.lower()
             words = low.split()
-            families.append(min((crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0))
+            hashes = [crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
+            # The least in two orders: texts that share a passage rarely agree in both.
+            families.append(min(hashes) << 31 | min(h * 0x9E3779B1 & 0x7FFFFFFF for h in hashes))
             known = {w for t in set(words) for w in restored_words(t, table)} | set(spaced_words(low, table))
             found.append(sorted({e for w in known for e in evidence(w)}))
         return {"doc_id": ids, "toxic": toxic, "family": families, "evidence": found}
 
     rows = scratch.save(map_rows(texts, run, "doc_id long, toxic int, family long, evidence array<string>", rows=128), "evidence")
-    return scratch.save(rows.dropDuplicates(["family"]), "sample")
+    # A family is toxic if one of its texts is, and then the least such text stands for it.
+    stands = F.min_by("evidence", F.struct(-F.col("toxic"), "doc_id", "evidence"))
+    return scratch.save(rows.groupBy("family").agg(F.max("toxic").alias("toxic"), stands.alias("evidence")), "sample")
 
 
 def log_odds(n_toxic: Column, n: Column) -> Column:
