@@ -301,7 +301,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     alike = Window.partitionBy("key", F.xxhash64("text")).orderBy(F.lit(0))
     keyed = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), text_or_empty(text_col).alias("text"))
     numbered = keyed.withColumn("number", (F.row_number().over(alike) - 1) if copies else F.lit(0))
-    return map_rows(numbered.select("id", "key", "number", "text"), run, f"{id_col} long, piece_ids array<int>, n_pieces long, lossless boolean", rows=256)
+    return map_rows(numbered.select("id", "key", "number", "text"), run, f"{id_col} long, piece_ids array<int>, n_pieces long, lossless boolean", rows=1024)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "piece_ids", model: str = "piece_bpe_32k.model") -> DataFrame:
