@@ -531,3 +531,58 @@ def test_op9_equals_a_plain_agenda(docs, dropout):
         want = [x for w, h in zip(words, hashes, strict=True) for x in plain_agenda(own, w, h, dropout)]
         assert flat[ends[i] : ends[i + 1]].tolist() == want
         assert own.decode(want) == text
+
+
+def test_values_on_odd_rows(spark, odd):
+    """What each operator returns for nulls, empty and long texts, repeated rows and rows without id."""
+    data = [(r.doc_id, r.text or "", r.source) for r in spark.read.parquet(f"{odd}/documents.parquet").collect()]
+    key = lambda rows_: sorted(rows_, key=repr)
+
+    def got(name, *columns):
+        return key(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, odd).collect())
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    pad = lambda b: b + b"\xff" * (-len(b) % 576 or (0 if b else 576))
+    assert got("op6_media", "doc_id", "n_bytes", "payload_sha256") == key((d, len(t.encode()), sha(pad(t.encode()))) for d, t, _ in data)
+    assert got("op7_token_counts", "doc_id", "n_tokens") == key((d, n) for (d, _, _), n in zip(data, library_counts([t for _, t, _ in data]), strict=True))
+    ids = sorted({d for d, _, _ in data if d is not None})
+    least = {i: min(t for d, t, _ in data if d == i) for i in ids}
+    after = {i: least[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
+    edited = lambda d, t: t if d is None else t[: len(t) - len(t) // 2] + after[d][: len(t) // 2]
+    assert got("op2_fingerprints", "doc_id", "n_chars", "edited_sha256") == key((d, len(t), sha(edited(d, t).encode())) for d, t, _ in data)
+    words = [WORD.findall(t) for _, t, _ in data]
+    n_shingles = [len({tuple(w[i : i + 4]) for i in range(len(w) - 3)}) if len(w) >= 4 else int(bool(w)) for w in words]
+    assert got("op3_ngram_jaccard", "doc_id", "n_shingles") == key((d, n) for (d, _, _), n in zip(data, n_shingles, strict=True))
+    classes = {(r.doc_id, r.component_id) for r in queries.QUERIES["op3_ngram_jaccard"](spark, odd).collect()}
+    assert {(4, 4), (5, 4), (1, 1), (2, 2), (3, 3)} <= classes and (None, 1) in classes
+    assert got("op10_mixing", "doc_id", "size") == key((d, len(w)) for (d, _, _), w in zip(data, words, strict=True))
+    assert all(0 <= r.taken <= 2 * r["size"] for r in queries.QUERIES["op10_mixing"](spark, odd).collect())
+    found = got("op8_secrets", "doc_id", "n_assign", "n_access", "n_hex")
+    assert (6, 1, 0, 0) in found and (1, 0, 0, 0) in found and (3, 0, 0, 0) in found
+    pieces_of = {r.doc_id: r for r in queries.QUERIES["op9_sentencepiece"](spark, odd).collect()}
+    assert pieces_of[2].n_pieces == pieces_of[3].n_pieces == 0 and not pieces_of[6].lossless and all(pieces_of[d].lossless for d in (1, 2, 3, 4, 5, 7, 8))
+    scores = defaultdict(set)
+    for r in queries.QUERIES["op5_toxicity"](spark, odd).collect():
+        scores[r.doc_id].add(r.score)
+        assert r.held_out == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert len(scores[1]) == 1 and scores[2] == scores[3]
+    pages = [(r.page_id, r.html or "") for r in spark.read.parquet(f"{odd}/pages.parquet").collect()]
+    assert got("op1_warc", "page_id", "payload_bytes", "payload_digest") == key((p, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for p, h in pages)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """What each stage keeps of odd rows, each judged on its own input."""
+    import corpus_pipeline
+
+    df = spark.read.parquet(f"{odd}/documents.parquet")
+    texts = lambda out: sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert texts(stages["toxicity"](spark, df, odd)) == texts(df)
+    kept = texts(stages["ngram_jaccard"](spark, df, odd))
+    assert [d for d, _ in kept] == [-1, 1, 2, 3, 4, 6, 7, 8]
+    clean = dict(texts(stages["secrets"](spark, df.where("doc_id IN (4, 6, 8)"), odd)))
+    assert clean[6].startswith("[secret]") and "aZ81" not in clean[6] and len(clean) == 3
+    mixed = texts(stages["mixing"](spark, df, odd))
+    assert {d for d, _ in mixed} <= {-1, 1, 4, 5, 6, 8} and all(t for _, t in mixed)
+    encoded = stages["sentencepiece"](spark, df, odd)
+    assert encoded.count() == df.count() and encoded.where("doc_id IN (2, 3) AND n_pieces > 0").count() == 0
