@@ -82,6 +82,13 @@ def list_opaque(index: DataFrame, objects: DataFrame) -> DataFrame:
     return index.join(known, "object_id", "left").withColumn("serveable", F.coalesce("serveable", F.lit(False)))
 
 
+def list_opaque_page(index: DataFrame, objects: DataFrame, engine_name: str | None = None, integration_name: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of the listed index of an engine or an integration, by engine, integration and key."""
+    listed = list_opaque(index, objects)
+    wanted = [F.col(c) == v for c, v in (("engine_name", engine_name), ("integration_name", integration_name)) if v is not None]
+    return page(reduce(DataFrame.where, wanted, listed), ["engine_name", "integration_name", "opaque_engine_key_hash"], limit, offset)
+
+
 def lookup_opaque(index: DataFrame, objects: DataFrame, keys: DataFrame) -> DataFrame:
     """object_id of each wanted key whose object can be served: one join for a batch of keys."""
     listed = list_opaque(index, objects).where("serveable")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlens.operators.catalog import is_servable, unservable_reason
+from kvlens.operators.catalog import is_servable, page, unservable_reason
 
 #: The reasons that make a manifest corrupt, not merely incomplete.
 CORRUPT_REASONS = ("object_corrupt", "compatibility_mismatch", "catalog_inconsistent")
@@ -15,6 +15,12 @@ CORRUPT_REASONS = ("object_corrupt", "compatibility_mismatch", "catalog_inconsis
 OPTIONAL = ("tokenizer_hash", "rope_config_hash")
 
 
+def list_manifests(manifests: DataFrame, limit: int | None = None, **equal: str | None) -> DataFrame:
+    """Manifests where the given columns (manifest_type, model_hash, prefix_hash) have the given values, by id."""
+    wanted = [F.col(c) == F.lit(v) for c, v in equal.items() if v is not None]
+    return page(reduce(DataFrame.where, wanted, manifests), ["manifest_id"], limit)
+
+
 def ordered_members(members: DataFrame) -> DataFrame:
     """Members with their place in the manifest: by layer and block (nulls last), then object."""
     order = [F.col("layer_id").asc_nulls_last(), F.col("kv_block_id").asc_nulls_last(), F.col("object_id").asc()]

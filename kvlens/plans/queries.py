@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kvlens.functions.descriptors import descriptor_hash, manifest_id, object_id
 from kvlens.functions.identity import blake3_hex
-from kvlens.operators import audit, catalog, chunks, eviction, lifecycle, manifests, serving, traces, validation
+from kvlens.operators import audit, catalog, chunks, eviction, lifecycle, manifests, phases, serving, traces, validation
 from kvlens.sources.descriptors import descriptors
 from kvlens.sources.views import table, view, with_views
 
@@ -568,3 +568,40 @@ def object_identity(t):
 def manifest_identity(t):
     none = F.lit(None).cast("string")
     return t("v_manifests").select("manifest_id", manifest_id(F.col("manifest_type"), F.col("model_hash"), none, none, F.col("prefix_hash"), F.col("token_range_start"), F.col("token_range_end")).alias("derived_id"))
+
+
+# -- lists and phases ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT manifest_id, model_hash, prefix_hash, pin_count FROM v_manifests WHERE manifest_type = 'prefix_manifest' AND prefix_hash = 'prefix-src1' ORDER BY manifest_id LIMIT 40""")
+def list_manifests_filtered(t):
+    return manifests.list_manifests(t("v_manifests"), 40, manifest_type="prefix_manifest", prefix_hash="prefix-src1").select("manifest_id", "model_hash", "prefix_hash", "pin_count")
+
+
+@query(INDEX + f"""SELECT idx.engine_name, idx.integration_name, idx.opaque_engine_key_hash, idx.object_id, state, coalesce({CAN_SERVE}, false) AS serveable
+FROM idx LEFT JOIN v_objects o ON o.object_id = idx.object_id WHERE engine_name = 'engine-en' ORDER BY 1, 2, 3 LIMIT 30 OFFSET 5""")
+def list_opaque_keys_paged(t):
+    return catalog.list_opaque_page(catalog.opaque_index(t("v_compat")), t("v_objects"), engine_name="engine-en", limit=30, offset=5).drop("created_at_unix_ms")
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY prefix_id ORDER BY ord) AS k, count(*) OVER (PARTITION BY prefix_id) AS n FROM v_requests WHERE phase = 'measured')
+SELECT prefix_id, i AS place, concat('cache_population-', lpad(CAST(i AS STRING), 2, '0'), '-', request_id) AS request_id, request_id AS source_id
+FROM m, (SELECT unnest(range(0, 4)) AS i) WHERE k = least(i + 1, n)""")
+def phase_population(t):
+    return phases.population(t("v_requests"), 4)
+
+
+@query("""SELECT concat('engine_warmup-', lpad(CAST(i AS STRING), 5, '0')) AS request_id, concat('engine_warmup-prefix-', lpad(CAST(i AS STRING), 4, '0')) AS prefix_id
+FROM (SELECT unnest(range(0, 100)) AS i) WHERE concat('engine_warmup-prefix-', lpad(CAST(i AS STRING), 4, '0')) NOT IN (SELECT prefix_id FROM v_requests WHERE phase = 'measured') ORDER BY i LIMIT 12""")
+def phase_warmup(t):
+    return phases.warmup(t("v_requests"), 12)
+
+
+@query("""SELECT prefix_id, count(*) AS requests FROM v_requests WHERE phase = 'engine_warmup' AND prefix_id IN (SELECT prefix_id FROM v_requests WHERE phase = 'measured') GROUP BY ALL""")
+def phase_leaks(t):
+    return phases.leaks(t("v_requests"))
+
+
+@query("""SELECT mode, phase, count(*) AS requests, count(DISTINCT prefix_id) AS prefixes FROM v_requests GROUP BY ALL""")
+def phase_counts(t):
+    return phases.phase_counts(t("v_requests"), "mode")

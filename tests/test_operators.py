@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlens.functions.identity import blake3_hex, blake3_many, canonical_json, strict_json
-from kvlens.operators import audit, chunks, eviction, lifecycle, manifests, serving, traces
+from kvlens.operators import audit, chunks, eviction, lifecycle, manifests, phases, serving, traces
 from kvlens.sources import files
 from kvlens.streaming import logs
 
@@ -213,3 +213,14 @@ def test_audit_modes(spark):
 def test_normalized_takes_unicode_white_space(spark):
     text = "  a \x1cb　\n c "
     assert spark.createDataFrame([(text,)], "t string").select(serving.normalized(F.col("t"))).first()[0] == "a b c" == " ".join(text.split())
+
+
+def test_phases(spark):
+    rows = [("r1", 1, "b", "measured"), ("r2", 2, "a", "measured"), ("r3", 3, "a", "measured"), ("r4", 4, "a", "measured"), ("r5", 5, "engine_warmup-prefix-0001", "measured"), ("w", 0, "a", "engine_warmup")]
+    df = spark.createDataFrame(rows, "request_id string, ord long, prefix_id string, phase string")
+    got = [(r.prefix_id, r.place, r.request_id) for r in phases.population(df, 2).orderBy("prefix_id", "place").collect()]
+    assert got[:4] == [("a", 0, "cache_population-00-r2"), ("a", 1, "cache_population-01-r3"), ("b", 0, "cache_population-00-r1"), ("b", 1, "cache_population-01-r1")] and len(got) == 6
+    assert phases.population(df, 0).count() == 0
+    assert [r.prefix_id for r in phases.warmup(df, 3).orderBy("request_id").collect()] == ["engine_warmup-prefix-0000", "engine_warmup-prefix-0002", "engine_warmup-prefix-0003"]
+    assert [tuple(r) for r in phases.leaks(df).collect()] == [("a", 1)]
+    assert phases.measured(df).count() == 5 and phases.measured(df, 1).count() == 3
