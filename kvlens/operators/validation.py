@@ -2,7 +2,7 @@
 
 A descriptor is JSON text.  It is parsed once to a variant, and every rule is a built-in expression on it, in the
 order: version and type, the schema's rules by path, payload and hashes, the target's profile, the meaning of
-its fields.  Hashes are the only Python, in Arrow batches.
+its fields.  Hashes are the only Python, one step of it, in small Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlens.functions.descriptors import Names, descriptor_hash, object_id
-from kvlens.functions.identity import blake3_hex
+from kvlens.functions.descriptors import Names, object_identity
+from kvlens.functions.identity import bounded
 
 #: Kinds of fields, and the sections of a descriptor and of a target profile with their fields.
 TEXT, COUNT, POSITIVE, HASH, RANGE, HASHES, SHAPE, ROLE, NOTES = "text", "count", "positive", "hash", "range", "hashes", "shape", "role", "notes"
@@ -187,8 +187,8 @@ def validate(objects: DataFrame, names: Names = Names(), metadata: str = "metada
     A text that isn't one JSON object with each key once is a parse_error; a null target asks for no compatibility.
     """
     text = F.col(metadata)
-    given = objects.withColumn("_payload_hash", blake3_hex(F.coalesce(F.col(payload), F.lit(b""))))
-    hashed = given.withColumn("_descriptor_hash", descriptor_hash(text, F.col("_payload_hash"))).withColumn("_found_id", object_id(F.col("_descriptor_hash"), F.col("_payload_hash"), names))
+    found = bounded(objects).withColumn("_found", object_identity(text, F.coalesce(F.col(payload), F.lit(b"")), names))
+    hashed = found.withColumns({"_payload_hash": F.col("_found.payload_hash"), "_descriptor_hash": F.col("_found.descriptor_hash"), "_found_id": F.col("_found.object_id")})
     parsed = hashed.withColumn("_meta", F.try_parse_json(text))
     m = Json(metadata, "_meta", names)
     if target is not None:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlens.functions.descriptors import Names, descriptor_hash, object_id
-from kvlens.functions.identity import blake3_hex
+from kvlens.functions.descriptors import Names, descriptor_identity
+from kvlens.functions.identity import blake3_hex, bounded
 
 #: Faults by the remainder of the document's id; a descriptor of any other remainder is whole.
 FAULTS = 16
@@ -26,7 +26,7 @@ def descriptors(docs: DataFrame, names: Names = Names()) -> DataFrame:
     opaque = F.col("doc_id") % 3 == 0
     hashed = lambda c: F.concat(F.lit("blake3:"), F.sha2(c, 256))
     kind = F.when(opaque, "opaque_engine_blob").otherwise("native_kv_page")
-    one = docs.select("doc_id", F.when(opaque, F.concat(F.lit("p"), F.coalesce("text", F.lit("")))).otherwise(F.rpad(F.md5("text"), 64, "x")).cast("binary").alias("payload"), "lang", "source", opaque.alias("opaque"), kind.alias("kind"))
+    one = bounded(docs).select("doc_id", F.when(opaque, F.concat(F.lit("p"), F.coalesce("text", F.lit("")))).otherwise(F.rpad(F.md5("text"), 64, "x")).cast("binary").alias("payload"), "lang", "source", opaque.alias("opaque"), kind.alias("kind"))
     tail = names.target_schema
     lang, source = hashed(F.coalesce("lang", F.lit(""))), hashed(F.coalesce("source", F.lit("")))
     span = struct(start=F.col("doc_id") % 5 * TOKENS, end=F.col("doc_id") % 5 * TOKENS + TOKENS)
@@ -48,7 +48,7 @@ def descriptors(docs: DataFrame, names: Names = Names()) -> DataFrame:
 
     null = F.lit(None).cast("string")
     whole = one.withColumn("payload_hash", blake3_hex(F.col("payload"))).withColumn("draft", meta(null, null, F.col("payload_hash")))
-    whole = whole.withColumn("descriptor_hash", descriptor_hash(F.col("draft"), F.col("payload_hash"))).withColumn("found_id", object_id(F.col("descriptor_hash"), F.col("payload_hash"), names))
+    whole = whole.withColumn("found", descriptor_identity(F.col("draft"), F.col("payload_hash"), names)).withColumns({"descriptor_hash": F.col("found.descriptor_hash"), "found_id": F.col("found.object_id")})
     fault = F.col("doc_id") % FAULTS
     other_id = F.concat(F.lit(names.id_prefix), F.sha2("found_id", 256))
     whole = whole.withColumn("written", meta(F.when(fault == 11, other_id).otherwise(F.col("found_id")), F.col("descriptor_hash"), F.col("payload_hash")))

@@ -116,3 +116,26 @@ def test_meaning_of_a_native_page(spark):
     fixed = F.replace(F.replace(F.col("metadata"), F.lit(whole["integrity"]["descriptor_hash"]), F.col("d")), F.lit(whole["object_id"]), F.col("i"))
     for r in validation.validate(df.withColumn("metadata", fixed), target=None).collect():
         assert r.reason_code == r.want, r.metadata
+
+
+def test_hashes_are_few_steps_of_small_batches(spark):
+    """A step of Python is a worker of its own in every task, and holds whole batches."""
+    from kvlens.functions.descriptors import descriptor_hash, descriptor_identity, object_id, object_identity
+    from kvlens.functions.identity import blake3_hex
+    from kvlens.sources.descriptors import descriptors
+
+    for option in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{option}")
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(["text", None, "", "é" * 3000] * 8)], "doc_id long, text string, lang string, source string")
+    made = descriptors(docs)
+    judged = validation.validate(made)
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+    assert (steps(made), steps(judged)) == (2, 3)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+    rows = [(r["metadata"], r["payload"]) for r in made.collect()] + [(None, bytearray(b"x")), ("{", bytearray(b"")), ("{}", None)]
+    df = spark.createDataFrame(rows, "metadata string, payload binary").withColumn("p", blake3_hex("payload")).withColumn("d", descriptor_hash(F.col("metadata"), F.col("p"))).withColumn("i", object_id(F.col("d"), F.col("p")))
+    both = df.select("p", "d", "i", object_identity(F.col("metadata"), F.col("payload")).alias("x"), descriptor_identity(F.col("metadata"), F.col("p")).alias("y")).collect()
+    assert len(both) == len(rows) and sum(r.i is None for r in both) > 2
+    for r in both:
+        assert tuple(r.x) == (r.p, r.d, r.i) and tuple(r.y) == (r.d, r.i)
