@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlens.functions.descriptors import descriptor_hash, manifest_id, object_id
-from kvlens.functions.identity import blake3_hex
+from kvlens.functions.descriptors import manifest_id
+from kvlens.functions.descriptors import object_identity as identity_of
+from kvlens.functions.identity import blake3_hex, bounded
 from kvlens.operators import audit, catalog, chunks, eviction, lifecycle, manifests, phases, serving, traces, validation
 from kvlens.sources.descriptors import descriptors
 from kvlens.sources.views import table, view, with_views
@@ -533,7 +534,7 @@ def prefix_dedup(t):
 
 @query()
 def object_identity_blake3(t):
-    return t("documents").select("doc_id", blake3_hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("payload_hash"))
+    return bounded(t("documents")).select("doc_id", blake3_hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("payload_hash"))
 
 
 @query("""WITH r AS (SELECT mode, prefix_id, ord > min(ord) OVER (PARTITION BY mode, prefix_id) AS reuse, output_token_count AS chars FROM v_requests),
@@ -559,15 +560,14 @@ def object_validation(t):
 
 @query()
 def object_identity(t):
-    made = descriptors(t("documents")).withColumn("payload_hash", blake3_hex(F.col("payload")))
-    named = made.withColumn("descriptor_hash", descriptor_hash(F.col("metadata"), F.col("payload_hash")))
-    return named.select("doc_id", "payload_hash", "descriptor_hash", object_id(F.col("descriptor_hash"), F.col("payload_hash")).alias("object_id"))
+    found = descriptors(t("documents")).withColumn("found", identity_of(F.col("metadata"), F.col("payload")))
+    return found.select("doc_id", "found.payload_hash", "found.descriptor_hash", "found.object_id")
 
 
 @query()
 def manifest_identity(t):
     none = F.lit(None).cast("string")
-    return t("v_manifests").select("manifest_id", manifest_id(F.col("manifest_type"), F.col("model_hash"), none, none, F.col("prefix_hash"), F.col("token_range_start"), F.col("token_range_end")).alias("derived_id"))
+    return bounded(t("v_manifests")).select("manifest_id", manifest_id(F.col("manifest_type"), F.col("model_hash"), none, none, F.col("prefix_hash"), F.col("token_range_start"), F.col("token_range_end")).alias("derived_id"))
 
 
 # -- lists and phases ---------------------------------------------------------------------------------------

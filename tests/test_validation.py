@@ -139,3 +139,14 @@ def test_hashes_are_few_steps_of_small_batches(spark):
     assert len(both) == len(rows) and sum(r.i is None for r in both) > 2
     for r in both:
         assert tuple(r.x) == (r.p, r.d, r.i) and tuple(r.y) == (r.d, r.i)
+
+
+@pytest.mark.parametrize(("name", "most"), [("object_identity", 3), ("object_identity_blake3", 1), ("manifest_identity", 1)])
+def test_identity_queries_take_few_workers_and_small_batches(spark, name, most):
+    from kvlens.plans.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == most and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
