@@ -13,6 +13,8 @@ from kvlens.operators.catalog import is_servable, page, unservable_reason
 CORRUPT_REASONS = ("object_corrupt", "compatibility_mismatch", "catalog_inconsistent")
 #: Columns in which a member must agree with its manifest where the manifest has a value.
 OPTIONAL = ("tokenizer_hash", "rope_config_hash")
+#: The columns that a member's identity is judged by.
+IDENTITY = ("model_hash", *OPTIONAL, "prefix_hash", "token_range_start", "token_range_end")
 
 
 def list_manifests(manifests: DataFrame, limit: int | None = None, **equal: str | None) -> DataFrame:
@@ -45,10 +47,15 @@ def identity_mismatch(manifests: DataFrame, compat: DataFrame) -> Column:
     return reduce(lambda done, rule: done.when(*rule), rules[1:], F.when(*rules[0]))
 
 
+def identity_columns(df: DataFrame) -> Column:
+    """Struct of the columns that identity is judged by; no others are read or moved."""
+    return F.struct(*(x for x in IDENTITY if x in df.columns))
+
+
 def with_identity(members: DataFrame, manifests: DataFrame, compat: DataFrame) -> DataFrame:
     """Members with mismatch; a member without compatibility has c null."""
-    own = manifests.select("manifest_id", F.struct(*(x for x in manifests.columns if x != "manifest_id")).alias("m"))
-    ranges = compat.select("object_id", F.struct(*(x for x in compat.columns if x != "object_id")).alias("c"))
+    own = manifests.select("manifest_id", identity_columns(manifests).alias("m"))
+    ranges = compat.select("object_id", identity_columns(compat).alias("c"))
     joined = members.join(own, "manifest_id").join(ranges, "object_id", "left")
     return joined.withColumn("mismatch", identity_mismatch(manifests, compat))
 
@@ -110,12 +117,16 @@ def inspect(manifests: DataFrame, members: DataFrame) -> DataFrame:
 
 def add_members(asked: DataFrame, manifests: DataFrame, objects: DataFrame, locations: DataFrame, compat: DataFrame) -> DataFrame:
     """manifest_id, object_id, refused, pins of members asked for: the reason they are refused, else null, and the pins
-    that the object takes over from its manifest if it is required."""
-    servable = objects.where(is_servable()).join(locations.where("tier = 'disk'").select("object_id"), "object_id", "left_semi").join(compat.select("object_id"), "object_id", "left_semi").select("object_id", F.lit(True).alias("servable"))
-    known = manifests.select("manifest_id", "pin_count", F.lit(True).alias("known"))
-    checked = with_identity(asked, manifests, compat).select("manifest_id", "object_id", "mismatch")
-    joined = asked.join(known, "manifest_id", "left").join(servable, "object_id", "left").join(checked, ["manifest_id", "object_id"], "left")
-    refused = F.when(F.col("servable").isNull(), "member is not serveable").when(F.col("known").isNull(), "manifest not found").otherwise(F.col("mismatch"))
+    that the object takes over from its manifest if it is required.
+
+    Members go through each join once; an asked row gives a row.
+    """
+    stored = objects.where(is_servable()).select("object_id").join(locations.where("tier = 'disk'").select("object_id"), "object_id", "left_semi")
+    servable = compat.select("object_id", identity_columns(compat).alias("c"), F.lit(True).alias("servable")).join(stored, "object_id", "left_semi")
+    known = manifests.select("manifest_id", "pin_count", identity_columns(manifests).alias("m"), F.lit(True).alias("known"))
+    joined = asked.select("manifest_id", "object_id", "required").join(known, "manifest_id", "left").join(servable, "object_id", "left")
+    mismatch = identity_mismatch(manifests, compat)
+    refused = F.when(F.col("servable").isNull(), "member is not serveable").when(F.col("known").isNull(), "manifest not found").otherwise(mismatch)
     pins = F.when(refused.isNull() & (F.col("required") == 1), F.col("pin_count")).otherwise(F.lit(0))
     return joined.select("manifest_id", "object_id", refused.alias("refused"), pins.cast("long").alias("pins"))
 

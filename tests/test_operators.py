@@ -224,3 +224,16 @@ def test_phases(spark):
     assert [r.prefix_id for r in phases.warmup(df, 3).orderBy("request_id").collect()] == ["engine_warmup-prefix-0000", "engine_warmup-prefix-0002", "engine_warmup-prefix-0003"]
     assert [tuple(r) for r in phases.leaks(df).collect()] == [("a", 1)]
     assert phases.measured(df).count() == 5 and phases.measured(df, 1).count() == 3
+
+
+def test_members_asked_for_go_through_each_join_once(spark, tmp_path):
+    asked = spark.createDataFrame([("m", "a", 1), ("m", "a", 0), ("m", "b", 1), ("none", "a", 1), ("m", "c", 1)], "manifest_id string, object_id string, required int")
+    asked.write.parquet(str(tmp_path / "asked"))
+    known = spark.createDataFrame([("m", "x", "p", 0, 100, 2, "t")], "manifest_id string, model_hash string, prefix_hash string, token_range_start long, token_range_end long, pin_count long, tokenizer_hash string")
+    compat = spark.createDataFrame([("a", "x", "p", 0, 50, "t"), ("b", "x", "p", 0, 50, "u")], "object_id string, model_hash string, prefix_hash string, token_range_start long, token_range_end long, tokenizer_hash string")
+    objects = spark.createDataFrame([(x, "verified", 0) for x in "abc"], "object_id string, state string, pin_count long")
+    locations = spark.createDataFrame([(x, "disk") for x in "abc"], "object_id string, tier string")
+    added = manifests.add_members(spark.read.parquet(str(tmp_path / "asked")), known, objects, locations, compat)
+    assert sorted((r.manifest_id, r.object_id, r.refused or "", r.pins) for r in added.collect()) == [("m", "a", "", 0), ("m", "a", "", 2), ("m", "b", "tokenizer_hash mismatch", 0), ("m", "c", "member is not serveable", 0), ("none", "a", "manifest not found", 0)]
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("Join ") == 4
